@@ -33,62 +33,80 @@ BROADCAST_ROWS = 300_000
 
 
 def _words(line: str) -> str:
-    return f"filter(split(lower({line}), '[ \\\\t\\\\r\\\\f]+'), x -> x <> '')"
+    return f"split({line}, ' ')"
+
+
+#: A line with its words in lower case, separated by one space.
+_NORMAL = "CASE WHEN x RLIKE '[\\\\t\\\\r\\\\f]|  |^ | $' THEN trim(regexp_replace(x, '[ \\\\t\\\\r\\\\f]+', ' ')) ELSE x END"
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` (checkpointed) marked for broadcast where its checked size allows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def removed_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     """``docs``: __k (row key), __id, __t (non-null text).  Returns __k and the array of removed line numbers."""
     lines = docs.select("__id", "__k", F.posexplode_outer(F.split("__t", "\n")).alias("line_no", "line"))
-    lines = lines.select("__id", "__k", "line_no", F.expr(_words("line")).alias("w")).where("size(w) > 0")
-    lines = lines.withColumn("s", F.expr("array_join(w, ' ')"))
-    h1, h2 = F.xxhash64("s"), F.xxhash64(F.lit("second"), "s")
-    at = F.struct("__id", "__k", "line_no")
+    lines = lines.select("__id", "__k", "line_no", F.expr(f"transform(array(lower(line)), x -> {_NORMAL})[0]").alias("s"))
+    lines = lines.withColumn("n", F.expr("CASE WHEN s = '' THEN 0 ELSE octet_length(s) - octet_length(replace(s, ' ', '')) + 1 END"))
+    half = "array(xxhash64('first', h, substring_index(s, ' ', h)), xxhash64('last', h, substring_index(s, ' ', -h)))"
+    halves = f"CASE WHEN n >= {near_words - 1} THEN flatten(transform(array_distinct(array(n div 2, (n - 1) div 2)), h -> transform(array(cast(h AS int)), h -> {half})[0])) END"
+    # One pass over the texts; all that follows works on hashes, until the candidates' words are needed.
+    placed = checkpointed(lines.where("n > 0").select("__id", "__k", "line_no", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit("second"), "s").alias("h2"), F.expr(halves).alias("halves")))
+    at = F.struct("__id", "__k", "line_no").alias("at")
     # Exact copies: the first place of every distinct line.
-    placed = checkpointed(lines.select(h1.alias("h1"), h2.alias("h2"), at.alias("at")))
-    firsts = placed.groupBy("h1", "h2").agg(F.min("at").alias("first"))
-    later = placed.join(firsts, ["h1", "h2"]).where("at <> first").select("at")
+    own = placed.select("h1", "h2", at)
+    firsts = checkpointed(own.groupBy("h1", "h2").agg(F.min("at").alias("first")))
+    later = own.join(firsts, ["h1", "h2"]).where("at <> first").select("at.__k", "at.line_no")
     # Lines that share a half with a different line.
-    half = "xxhash64('{k}', h, array_join(slice(w, {a}, h), ' '))"
-    halves = "flatten(transform(array_distinct(array(size(w) div 2, (size(w) - 1) div 2)), h -> array({}, {})))".format(
-        half.format(k="first", a=1), half.format(k="last", a="size(w) - h + 1")
-    )
-    halved = lines.where(f"size(w) >= {near_words - 1}").select(F.explode_outer(F.expr(halves).cast("array<bigint>")).alias("half"), h1.alias("h1"), h2.alias("h2"))
+    halved = placed.select(F.explode_outer("halves").alias("half"), "h1").where("half IS NOT NULL")
     shared = halved.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("half")
-    candidates = checkpointed(halved.join(shared, "half").select("h1", "h2").distinct().join(firsts, ["h1", "h2"]).select("h1", "h2", "first"))
-    # Their words, from the places where they come first.
-    wanted = candidates.select(F.col("first.__k").alias("__k"), F.col("first.line_no").alias("line_no"), "first")
-    near = _near_copies(_lines_at(docs, wanted).select("first", F.expr(_words("line")).alias("w")), near_words)
-    gone = later.union(near).select(F.col("at.__k").alias("__k"), F.col("at.line_no").alias("line_no"))
-    return gone.groupBy("__k").agg(F.collect_set("line_no").alias("removed"))
+    candidates = checkpointed(halved.join(shared, "half").select("h1").distinct())
+    wanted = checkpointed(firsts.join(small(candidates), "h1", "left_semi").select(F.col("first.__k").alias("__k"), F.col("first.line_no").alias("line_no"), "first"))
+    near = _near_copies(_lines_at(docs, wanted), near_words)
+    gone = later.union(near.select("at.__k", "at.line_no"))
+    return checkpointed(gone.groupBy("__k").agg(F.collect_set("line_no").alias("removed")))
 
 
 def _lines_at(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The lines of ``wanted`` (__k, line_no, first); moves texts only where the list is long."""
-    by_doc = wanted.groupBy("__k").agg(F.collect_list(F.struct("line_no", "first")).alias("places"))
-    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    found = docs.select("__k", "__t").join(F.broadcast(by_doc) if few else by_doc, "__k")
+    """(first, w): the words of the lines of ``wanted`` (__k, line_no, first); moves texts only where the list is long."""
+    by_doc = checkpointed(wanted.groupBy("__k").agg(F.collect_list(F.struct("line_no", "first")).alias("places")))
+    found = docs.select("__k", "__t").join(small(by_doc), "__k")
     at = "transform(array(split(__t, '\\n')), l -> transform(places, p -> struct(p.first AS first, get(l, p.line_no) AS line)))[0]"
-    return found.select(F.explode_outer(F.expr(at)).alias("p")).select("p.first", "p.line")
+    found = found.select(F.explode_outer(F.expr(at)).alias("p")).select("p.first", F.expr(f"transform(array(lower(p.line)), x -> {_NORMAL})[0]").alias("s"))
+    return found.select("first", F.expr(_words("s")).alias("w"))
+
+
+def _before(d: str) -> str:
+    """SQL expression: for each item of the array the XOR of those before it; in blocks, so that long arrays cost linear time."""
+    run = "aggregate({x}, named_struct('t', {t}, 'o', cast(array() AS array<bigint>)), (a, y) -> named_struct('t', a.t ^ y, 'o', concat(a.o, array(a.t))), a -> a.o)"
+    blocks = f"transform(sequence(0, (size({d}) - 1) div 256), b -> slice({d}, b * 256 + 1, 256))"
+    sums = "transform(bs, b -> aggregate(b, 0L, (a, y) -> a ^ y))"
+    inner = run.format(x="b", t="get(base, i)")
+    return f"transform(array({blocks}), bs -> transform(array({run.format(x=sums, t='0L')}), base -> flatten(transform(bs, (b, i) -> {inner})))[0])[0]"
 
 
 def _near_copies(lines: DataFrame, near_words: int) -> DataFrame:
     """``lines``: first (place), w (words); returns the places (``at``) of those with an earlier line within one edit."""
-    xor = "aggregate(sequence(1, size(w)), 0L, (a, i) -> a ^ xxhash64('{s}', get(w, i - 1), i - {d}))"
-    lines = lines.where("size(w) > 0").selectExpr(
-        "first", "w", "size(w) AS n", f"{xor.format(s='a', d=0)} AS t0a", f"{xor.format(s='b', d=0)} AS t0b", f"{xor.format(s='a', d=1)} AS t1a", f"{xor.format(s='b', d=1)} AS t1b"
-    )
-    whole = lines.selectExpr(f"xxhash64('D', t0a) AS ka", "xxhash64('D', t0b) AS kb", "2 AS role", "first AS at")
-    words = lines.where(f"n >= {near_words}").selectExpr("first", "n", "t1a", "t1b", "posexplode_outer(w) AS (p, word)")
-    words = words.selectExpr("*", *[f"xxhash64('{s}', word, p + 1 - {d}) AS x{d}{s}" for d in (0, 1) for s in "ab"])
-    before = "OVER (PARTITION BY first ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    words = words.selectExpr("*", *[f"coalesce(bit_xor(x{d}{s}) {before}, 0L) AS p{d}{s}" for d in (0, 1) for s in "ab"])
-    words = words.selectExpr("first", "n", "p", *[f"p0{s} ^ t1{s} ^ p1{s} ^ x1{s} AS v{s}" for s in "ab"])
-    kinds = "array(struct(xxhash64('S', n, p, va) AS ka, xxhash64('S', n, p, vb) AS kb, 0 AS role), struct(xxhash64('D', va) AS ka, xxhash64('D', vb) AS kb, 1 AS role))"
-    variants = words.selectExpr("first AS at", f"explode({kinds}) AS k").selectExpr("k.ka", "k.kb", "k.role", "at")
-    keys = checkpointed(variants.unionByName(whole))
-    least = keys.groupBy("ka", "kb").agg(*[F.min(F.when(F.col("role") == r, F.col("at"))).alias(f"m{r}") for r in (0, 1, 2)])
-    least = least.where("m0 IS NOT NULL OR (m1 IS NOT NULL AND m2 IS NOT NULL)")
-    found = keys.join(least, ["ka", "kb"])
+    hashed = "transform(w, (x, j) -> xxhash64('{s}', x, j + 1 - {d}))"
+    xor = "aggregate({x}, 0L, (a, y) -> a ^ y)"
+    lines = lines.selectExpr("first", "size(w) AS n", *[f"{hashed.format(s=s, d=d)} AS x{d}{s}" for s in "ab" for d in (0, 1)])
+    lines = lines.selectExpr("first", "n", *[f"x1{s}" for s in "ab"], *[f"{xor.format(x=f'x0{s}')} AS whole{s}" for s in "ab"], *[f"{xor.format(x=f'x1{s}')} AS moved{s}" for s in "ab"], *[f"zip_with(x0{s}, x1{s}, (p, q) -> p ^ q) AS d{s}" for s in "ab"])
+    # The variant without word i: words before it at their place, words after it moved by one.
+    variant = "zip_with({b}, x1{s}, (p, q) -> moved{s} ^ p ^ q)"
+    lines = lines.selectExpr("first", "n", "wholea", "wholeb", *[f"CASE WHEN n >= {near_words} THEN {variant.format(b=_before(f'd{s}'), s=s)} ELSE cast(array() AS array<bigint>) END AS v{s}" for s in "ab"])
+    lines = checkpointed(lines)
+    keyed = lines.select(F.xxhash64("first").alias("line"), F.explode_outer(F.expr("concat(va, array(wholea))")).alias("key"))
+    often = checkpointed(keyed.groupBy("key").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi").select("key"))
+    rows = lines.select("first", "n", F.posexplode_outer(F.expr("transform(arrays_zip(concat(va, array(wholea)), concat(vb, array(wholeb))), z -> struct(z['0'] AS key, z['1'] AS key2))")).alias("p", "z"))
+    rows = rows.selectExpr("first AS at", "n", "p", "z.key", "z.key2").join(small(often), "key", "left_semi")
+    rows = rows.withColumn("whole", F.expr(f"p = n OR n < {near_words}"))
+    kinds = "CASE WHEN whole THEN array(struct('D' AS kind, 0 AS n, 0 AS p, 2 AS role)) ELSE array(struct('S' AS kind, n AS n, p AS p, 0 AS role), struct('D' AS kind, 0 AS n, 0 AS p, 1 AS role)) END"
+    keys = checkpointed(rows.select("at", "key", "key2", F.explode_outer(F.expr(kinds)).alias("k")).select("at", "key", "key2", "k.*"))
+    by = ["key", "key2", "kind", "n", "p"]
+    least = keys.groupBy(*by).agg(*[F.min(F.when(F.col("role") == r, F.col("at"))).alias(f"m{r}") for r in (0, 1, 2)])
+    found = keys.join(least, by)
     return found.where("(role = 0 AND m0 < at) OR (role = 1 AND m2 < at) OR (role = 2 AND m1 < at)").select("at").distinct()
 
 
@@ -96,7 +114,7 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", near_
     """Each input row's id with ``kept_text``, ``n_lines``, ``n_removed`` and ``removed_lines`` (numbers from 0)."""
     docs = df.select(df[doc_id].alias("__id"), whole_text(df, text).alias("__t"))
     docs = docs.withColumn("__k", row_key(F.col("__id"), F.col("__t")))
-    out = docs.join(removed_lines(docs, near_words), "__k", "left")
+    out = docs.join(small(removed_lines(docs, near_words)), "__k", "left")
     out = out.withColumns({"__lines": F.split("__t", "\n"), "removed_lines": F.expr("coalesce(sort_array(removed), cast(array() AS array<int>))")})
     return out.select(
         F.col("__id").alias(doc_id),
