@@ -191,14 +191,18 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
 
 def components(edges: DataFrame) -> DataFrame:
     """(k, label): the smallest member of the component, for every end of an edge (a, b)."""
-    both = checkpointed(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m")).select("k", F.least("k", "m").alias("label")))
+    both = checkpointed(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = both.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m")).select("k", F.least("k", "m").alias("label"))
+    rounds = 0
     while True:
-        near = both.join(labels.select(F.col("k").alias("b"), "label"), "b").groupBy(F.col("a").alias("k")).agg(F.min("label").alias("m"))
-        step = labels.join(near, "k").select("k", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        jump = labels.select(F.col("k").alias("label"), F.col("label").alias("up"))
-        new = checkpointed(step.join(jump, "label").select("k", "old", F.least("label", "up").alias("label")))
-        if not new.where("old <> label").limit(1).count():
+        labels, rounds = checkpointed(labels), rounds + 1
+        if rounds > 3:  # long chains: jump to the label of the label
+            up = labels.select(F.col("k").alias("label"), F.col("label").alias("up"))
+            labels = labels.join(up, "label").select("k", F.least("label", "up").alias("label"))
+        told = both.join(labels.select(F.col("k").alias("b"), "label"), "b").select(F.col("a").alias("k"), "label", F.lit(None).cast("long").alias("own"))
+        told = told.union(labels.select("k", "label", F.col("label").alias("own")))
+        new = checkpointed(told.groupBy("k").agg(F.min("label").alias("label"), F.max("own").alias("own")))
+        if new.where("label <> own").isEmpty():
             return new.select("k", "label")
         labels = new.select("k", "label")
 
@@ -223,26 +227,30 @@ def near_duplicates(
     edges, seen = checkpointed(_verified(pairs, texts, shingle, least)), pairs
     labels = components(edges)
     while True:
-        classed = shared.join(labels.withColumnRenamed("k", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
+        classed = checkpointed(shared.join(labels.withColumnRenamed("k", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label")))
         apart = classed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
         open_ = checkpointed(classed.join(apart, "key"))
+        most = open_.agg(F.max("n")).first()[0]
+        if most is None:
+            break
         small = open_.where(F.col("n") <= small_bucket)
         x, y = small.select("key", F.col("rep").alias("a"), F.col("label").alias("la")), small.select("key", F.col("rep").alias("b"), F.col("label").alias("lb"))
         more = x.join(y, "key").where("a > b AND la <> lb").select("a", "b")
-        # Large buckets: the head of those that are not yet in the class of an earlier head.
-        large = open_.where(F.col("n") > small_bucket).where("label <> lo")
-        lead = large.groupBy("key").agg(F.min("rep").alias("b"), F.min_by("label", "rep").alias("lb"))
-        more = more.union(large.join(lead, "key").where("rep <> b AND label <> lb").select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")))
+        if most > small_bucket:
+            # Large buckets: the head of those that are not in the class of the earlier head.
+            large = open_.where(F.col("n") > small_bucket).where("label <> lo")
+            lead = large.groupBy("key").agg(F.min("rep").alias("b"), F.min_by("label", "rep").alias("lb"))
+            led = checkpointed(large.join(lead, "key").where("rep <> b"))
+            more = more.union(led.where("label <> lb").select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")))
         more = checkpointed(more.distinct().join(seen, ["a", "b"], "left_anti"))
-        if not more.limit(1).count():
-            break
-        seen = checkpointed(seen.union(more))
         found = checkpointed(_verified(more, texts, shingle, least))
-        if found.limit(1).count():
+        if not found.isEmpty():
             edges = checkpointed(edges.union(found))
             labels = components(edges)
-        # Heads that met every other class leave the large buckets; small ones are settled.
-        shared = checkpointed(large.join(lead, "key").where("rep <> b").select("key", "rep"))
+        if most <= small_bucket:
+            break  # small buckets are settled
+        seen = checkpointed(seen.union(more))
+        shared = led.select("key", "rep")  # heads leave the large buckets
     links = edges.select("a").union(edges.select("b")).groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links"))
     rows_ = sketched.join(firsts, ["d1", "d2"]).select("__id", "__k", "rep")
     rows_ = rows_.join(labels.withColumnRenamed("k", "rep"), "rep", "left").join(links, "rep", "left")
