@@ -37,7 +37,7 @@ def _words(line: str) -> str:
 
 
 #: A line with its words in lower case, separated by one space.
-_NORMAL = "CASE WHEN x RLIKE '[\\\\t\\\\r\\\\f]|  |^ | $' THEN trim(regexp_replace(x, '[ \\\\t\\\\r\\\\f]+', ' ')) ELSE x END"
+_NORMAL = "CASE WHEN contains(x, '  ') OR contains(x, '\\t') OR contains(x, '\\r') OR contains(x, '\\f') OR startswith(x, ' ') OR endswith(x, ' ') THEN trim(regexp_replace(x, '[ \\\\t\\\\r\\\\f]+', ' ')) ELSE x END"
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -53,7 +53,8 @@ def removed_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     half = "array(xxhash64('first', h, substring_index(s, ' ', h)), xxhash64('last', h, substring_index(s, ' ', -h)))"
     halves = f"CASE WHEN n >= {near_words - 1} THEN flatten(transform(array_distinct(array(n div 2, (n - 1) div 2)), h -> transform(array(cast(h AS int)), h -> {half})[0])) END"
     # One pass over the texts; all that follows works on hashes, until the candidates' words are needed.
-    placed = checkpointed(lines.where("n > 0").select("__id", "__k", "line_no", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit("second"), "s").alias("h2"), F.expr(halves).alias("halves")))
+    # Blank lines go after the checkpoint: a filter would be pushed below and compute the line again.
+    placed = checkpointed(lines.select("n", "__id", "__k", "line_no", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit("second"), "s").alias("h2"), F.expr(halves).alias("halves"))).where("n > 0")
     at = F.struct("__id", "__k", "line_no").alias("at")
     # Exact copies: the first place of every distinct line.
     own = placed.select("h1", "h2", at)
