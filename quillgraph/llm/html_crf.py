@@ -300,7 +300,7 @@ def labelled_pages(n: int = 300, seed: int = 7) -> list[tuple[str, list[str]]]:
 
 def labels_of(found: list[tuple[str, frozenset[str], str, float]], main: list[str]) -> list[int]:
     """Main text lies in a main frame and in no frame of the other kind; the made pages tell both by their marks."""
-    good = {"tag=article", "tag=main", "class=content", "class=post", "class=entry", "class=story"}
+    good = {"tag=article", "tag=main", "class=article", "class=content", "class=post", "class=entry", "class=story"}
     bad_tags = {"tag=aside", "tag=form", "tag=footer", "tag=nav", "tag=header"}
     bad_words = set("ad ads advert sponsored promo banner sidebar cookie notice consent gdpr share social related breadcrumb tags meta comments comment list replies widget menu nav header footer".split())
     return [int(bool(m & good) and not m & bad_tags and not any(x.split("=")[1] in bad_words for x in m if x[:3] in ("cla", "id=", "rol"))) for _, m, _, _ in found]

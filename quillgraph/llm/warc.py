@@ -120,6 +120,8 @@ class WarcReader(DataSourceReader):
         return True
 
     def read(self, partition: WarcFile) -> Iterator[tuple]:
+        if partition is None:  # a folder without archives
+            return
         fs, path = _filesystem(partition.path)
         with fs.open_input_file(path) as raw:
             stream = io.BufferedReader(raw, 1 << 20)
