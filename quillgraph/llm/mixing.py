@@ -12,7 +12,9 @@ Then nonnegative document rates are fitted so that the expected tokens of each d
 sum of rate * tokens * posterior, match the target shares of all tokens: least squares by
 projected gradient.  The projection is lazy: the gradients of all steps add up to one
 number a domain, and rate = max(0, 1 + posterior . sum) starts at 1 and stays as near to
-it as the targets allow.  Each step is one aggregation over (tokens, posterior), scaled
+it as the targets allow.  A domain without weight takes its documents out: those whose
+posterior lies mostly (0.5 or more) in domains of target 0 have rate 0 and no part in the
+fit, which would only approach that bound.  Each step is one aggregation over (tokens, posterior), scaled
 by the 3 x 3 Gauss-Newton matrix of the documents that are not at the bound; only those
 twelve sums reach the driver.
 
@@ -139,8 +141,10 @@ def mix(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "t
     docs = df.select(df[doc_id].alias("__id"), whole_text(df, text).alias("__t"))
     parts = with_posterior(docs.withColumn("__k", row_key(F.col("__id"), F.col("__t"))), learn(docs, labels, sample)).drop("__t")
     parts = checkpointed(parts)
-    mu = fit_rates(parts, targets)
-    rate = "round(greatest(0D, 1D" + "".join(f" + p{i} * ({m!r}D)" for i, m in enumerate(mu)) + "), 6)"
+    barred = " + ".join(["0D", *(f"p{i}" for i, d in enumerate(DOMAINS) if targets[d] == 0)]) + " >= 0.5D"
+    # Barred documents count among all tokens, but nothing of them is in the mixture.
+    mu = fit_rates(parts.select("n_tokens", *[F.expr(f"CASE WHEN {barred} THEN 0D ELSE p{i} END").alias(f"p{i}") for i in range(3)]), targets)
+    rate = f"CASE WHEN {barred} THEN 0D ELSE round(greatest(0D, 1D" + "".join(f" + p{i} * ({m!r}D)" for i, m in enumerate(mu)) + "), 6) END"
     names = [F.expr(f"round(p{i}, 6)").alias(f"p_{d}") for i, d in enumerate(DOMAINS)]
     out = parts.select(F.col("__id").alias(doc_id), "__k", "n_tokens", *names, F.expr(rate).alias("rate"))
     return out.withColumn("copies", F.expr("cast(floor(rate + pmod(xxhash64(__k, 'copies'), 1000000) / 1000000D) AS bigint)"))

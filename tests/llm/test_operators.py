@@ -120,6 +120,13 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 0
 
 
+def test_mixing_takes_out_a_domain_without_weight(spark):
+    rows = [(i, f"{WORDS[i % 18]} {WORDS[i % 7]} word{i % 50}" + (" scumbag moronic" if i % 10 == 0 else "")) for i in range(4000)]
+    labels = spark.createDataFrame([(i, int(i % 10 == 0 or i % 7 > 0), int(i % 10 == 0)) for i in range(4000)], "doc_id long, quality int, toxic int")
+    rates = {r["doc_id"]: r["rate"] for r in mixing.mix(frame(spark, rows), labels).collect()}
+    assert {rates[i] for i in range(0, 4000, 10)} == {0.0} and all(rates[i] > 0 for i in range(4000) if i % 10)
+
+
 def test_projected_gradient_matches_brute_force(spark):
     rnd = np.random.default_rng(1)
     p = rnd.dirichlet([0.3, 0.3, 0.6], 200)
