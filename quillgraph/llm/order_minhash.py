@@ -9,11 +9,11 @@ a band of the width that the threshold allows: similarity = LCS / (|a| + |b| - L
 Jaccard measure of the alignment, and ``similarity`` or more links the pair.
 
 Copies (equal word sequences) share one representative, so a group of copies of any size
-counts once.  Within a bucket members are compared with its head, not with each other;
-where that leaves a bucket in several classes, the members outside the head's class are
-compared further (all pairs across classes in small buckets, head by head in large ones)
-until no bucket offers an unseen pair, so no link between different texts is lost to a
-bucket's size.  Classes are the connected components, found by min-label propagation
+counts once.  Every pair of representatives that shares a bucket is aligned once, in the
+bucket of its first common band: a bucket is dealt into blocks by a hash of its members
+and each pair of blocks is one piece of work, so a large bucket is compared whole by many
+tasks.  A piece returns a count of links a member and the edges that join its members,
+never the pairs.  Classes are the connected components, found by min-label propagation
 with pointer jumping on the distributed edge table.
 
 Edge cases: null is the empty text; all wordless texts form one class; repeated rows
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import checkpointed, row_key, small_batches, whole_text
 
 SHINGLE, SIMILARITY, ROWS, BANDS = 5, 0.8, 3, 20
-#: Buckets up to this many members are compared pair by pair where classes stay apart.
-SMALL_BUCKET = 64
+#: Buckets up to this many members (and bytes of text) are one block; it sets the size of a piece of work, not the result.
+SMALL_BUCKET, BLOCK_BYTES = 256, 1 << 24
 BROADCAST_ROWS = 500_000
 SEGMENT = 1 << 20
 
@@ -160,33 +160,104 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
 def _sketched(docs: DataFrame, shingle: int, rows: int, bands: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, keys = [], []
+            digests, keys, sizes = [], [], []
             for text in batch["__t"].to_pylist():
                 norm = normalise(text)
                 d = hashlib.blake2b(norm.encode("utf-8", "surrogatepass"), digest_size=16).digest()
                 digests.append(np.frombuffer(d, np.int64))
                 keys.append(sketch(shingle_hashes(norm, shingle), rows, bands))
+                sizes.append(len(norm))
             d = np.array(digests, np.int64).reshape(-1, 2)
-            yield pa.record_batch([batch["__id"], batch["__k"], pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(keys, pa.list_(pa.int64()))], ["__id", "__k", "d1", "d2", "keys"])
+            yield pa.record_batch([batch["__id"], batch["__k"], pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], ["__id", "__k", "d1", "d2", "keys", "size"])
 
     kind = docs.schema["__id"].dataType.simpleString()
-    return docs.select("__id", "__k", "__t").mapInArrow(run, f"__id {kind}, __k long, d1 long, d2 long, keys array<long>")
+    return docs.select("__id", "__k", "__t").mapInArrow(run, f"__id {kind}, __k long, d1 long, d2 long, keys array<long>, size long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """The pairs (a, b) that reach the threshold."""
+def _reaches(a: np.ndarray, b: np.ndarray, ranked: np.ndarray, order: np.ndarray, least: float) -> bool:
+    """Whether the similarity of ``a`` and ``b`` is ``least`` or more; ``ranked`` is ``a[order]``, sorted."""
+    at = np.minimum(np.searchsorted(ranked, b), a.size - 1)
+    hit = ranked[at] == b
+    common = int(np.count_nonzero(hit))  # no alignment is longer
+    if common < least * (a.size + b.size - common):
+        return False
+    place = order[at[hit]]
+    if (place[1:] > place[:-1]).all():  # an alignment of that length
+        return common / (a.size + b.size - common) >= least
+    return similarity(a, b, least) >= least
+
+
+def block_links(reps: list[int], texts: list[str], keys: np.ndarray, side: np.ndarray, band: int, shingle: int, least: float) -> list[tuple[int, int, int]]:
+    """(member, smallest member it is joined to, links) over one piece of a bucket; members without a link are left out.
+
+    Pairs are taken inside the block if all are on one ``side``, else across the two, and
+    only if ``band`` is the first that they share.
+    """
+    h = [shingle_hashes(normalise(t), shingle) for t in texts]
+    size = np.array([x.size for x in h])
+    one = bool((side == side[0]).all())
+    links, up = np.zeros(len(h), np.int64), list(range(len(h)))
+
+    def top(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for i in range(len(h)):
+        rest = np.arange(i + 1, len(h)) if one else np.flatnonzero(side > side[i])
+        rest = rest[np.minimum(size[rest], size[i]) >= least * np.maximum(size[rest], size[i])]
+        rest = rest[(keys[rest] == keys[i]).argmax(1) == band]
+        if not rest.size:
+            continue
+        order = np.argsort(h[i], kind="stable")
+        ranked = h[i][order]
+        for j in rest.tolist():
+            if _reaches(h[i], h[j], ranked, order, least):
+                links[i] += 1
+                links[j] += 1
+                x, y = top(i), top(j)
+                if reps[x] < reps[y]:
+                    up[y] = x
+                else:
+                    up[x] = y
+    return [(reps[i], reps[top(i)], int(links[i])) for i in np.flatnonzero(links).tolist()]
+
+
+def _links(reps: DataFrame, texts: DataFrame, shingle: int, least: float, block: int) -> DataFrame:
+    """(a, b, n) over all candidate pairs of ``reps`` (rep, keys, size): the edges that join a class, and in ``n`` the links of a."""
+    buckets = reps.select("rep", "size", F.posexplode_outer("keys").alias("band", "key")).where("key IS NOT NULL")
+    sets = buckets.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("band").alias("band"), F.expr("bit_xor(xxhash64(rep, 1))").alias("s1"), F.expr("bit_xor(xxhash64(rep, 2))").alias("s2")).where("n > 1")
+    # Buckets of equal members offer equal pairs; the lowest band has them all.
+    sets = sets.groupBy("n", "s1", "s2").agg(F.min(F.struct("band", "key", "size")).alias("f"))
+    sets = sets.select(F.col("f.key").alias("key"), F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("f.size") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    members = buckets.select("rep", "band", "key").join(sets, "key").withColumn("own", F.expr("CAST(pmod(xxhash64(rep, key), blocks) AS INT)"))
+    members = members.withColumn("other", F.explode_outer(F.expr("sequence(0, blocks - 1)")))
+    members = checkpointed(members.select("rep", "band", "key", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
+    wanted = members.select(F.col("rep").alias("__k")).distinct()
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    texts = texts.join(F.broadcast(wanted) if few else wanted, "__k", "left_semi").dropDuplicates(["__k"]).withColumnRenamed("__k", "rep")
+    pieces = members.join(reps.select("rep", "keys"), "rep").join(texts, "rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def settled() -> pa.RecordBatch:
+            reps, texts, keys, side = (list(c) for c in zip(*piece, strict=True))
+            found = block_links(reps, texts, np.array(keys, np.int64), np.array(side), at[3], shingle, least)
+            return pa.record_batch([pa.array([r[c] for r in found], pa.int64()) for c in range(3)], ["a", "b", "n"])
+
+        at, piece = None, []
         for batch in batches:
-            keep, last = [], (None, np.zeros(0, np.uint64))
-            for x, y in zip(batch["ta"].to_pylist(), batch["tb"].to_pylist(), strict=True):
-                if y != last[0]:
-                    last = (y, shingle_hashes(normalise(y), shingle))
-                keep.append(similarity(shingle_hashes(normalise(x), shingle), last[1], least) >= least)
-            yield pa.record_batch([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            c = {name: batch[name].to_pylist() for name in ("key", "i", "j", "band", "rep", "__t", "keys", "own")}
+            for here, row in zip(zip(c["key"], c["i"], c["j"], c["band"], strict=True), zip(c["rep"], c["__t"], c["keys"], c["own"], strict=True), strict=True):
+                if here != at and len(piece) > 1:
+                    yield settled()
+                if here != at:
+                    at, piece = here, []
+                piece.append(row)
+        if len(piece) > 1:
+            yield settled()
 
-    both = pairs.join(texts.select(F.col("__k").alias("a"), F.col("__t").alias("ta")), "a").join(texts.select(F.col("__k").alias("b"), F.col("__t").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return checkpointed(pieces.select("key", "i", "j", "band", "rep", "__t", "keys", "own").mapInArrow(run, "a long, b long, n long"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -217,41 +288,12 @@ def near_duplicates(
     sketched = checkpointed(_sketched(docs, shingle, rows, bands))
     firsts = checkpointed(sketched.groupBy("d1", "d2").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__k")).alias("f")).select("d1", "d2", F.col("f.__k").alias("rep")))
     reps = sketched.join(firsts, ["d1", "d2"]).where("__k = rep").dropDuplicates(["rep"])
-    buckets = checkpointed(reps.select("rep", F.explode_outer("keys").alias("key")).where("key IS NOT NULL"))
-    heads = buckets.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1")
-    shared = checkpointed(buckets.join(heads, "key").select("key", "rep", "head", "n"))
-    pairs = checkpointed(shared.where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct())
-    wanted = shared.select(F.col("rep").alias("__k")).distinct()
-    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    texts = checkpointed(docs.select("__k", "__t").join(F.broadcast(wanted) if few else wanted, "__k", "left_semi").dropDuplicates(["__k"]))
-    edges, seen = checkpointed(_verified(pairs, texts, shingle, least)), pairs
-    labels = components(edges)
-    while True:
-        classed = checkpointed(shared.join(labels.withColumnRenamed("k", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label")))
-        apart = classed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-        open_ = checkpointed(classed.join(apart, "key"))
-        most = open_.agg(F.max("n")).first()[0]
-        if most is None:
-            break
-        small = open_.where(F.col("n") <= small_bucket)
-        x, y = small.select("key", F.col("rep").alias("a"), F.col("label").alias("la")), small.select("key", F.col("rep").alias("b"), F.col("label").alias("lb"))
-        more = x.join(y, "key").where("a > b AND la <> lb").select("a", "b")
-        if most > small_bucket:
-            # Large buckets: the head of those that are not in the class of the earlier head.
-            large = open_.where(F.col("n") > small_bucket).where("label <> lo")
-            lead = large.groupBy("key").agg(F.min("rep").alias("b"), F.min_by("label", "rep").alias("lb"))
-            led = checkpointed(large.join(lead, "key").where("rep <> b"))
-            more = more.union(led.where("label <> lb").select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")))
-        more = checkpointed(more.distinct().join(seen, ["a", "b"], "left_anti"))
-        found = checkpointed(_verified(more, texts, shingle, least))
-        if not found.isEmpty():
-            edges = checkpointed(edges.union(found))
-            labels = components(edges)
-        if most <= small_bucket:
-            break  # small buckets are settled
-        seen = checkpointed(seen.union(more))
-        shared = led.select("key", "rep")  # heads leave the large buckets
-    links = edges.select("a").union(edges.select("b")).groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links"))
+    found = _links(reps.select("rep", "keys", "size"), docs.select("__k", "__t"), shingle, least, small_bucket)
+    # A member is joined once for each piece it was in: it keeps its smallest, to which its others are joined.
+    stars = checkpointed(found.where("a <> b").groupBy("a").agg(F.min("b").alias("m"), F.collect_set("b").alias("all")))
+    others = stars.where("size(all) > 1").select(F.explode_outer("all").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    labels = components(stars.select("a", F.col("m").alias("b")).union(others))
+    links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_links"))
     rows_ = sketched.join(firsts, ["d1", "d2"]).select("__id", "__k", "rep")
     rows_ = rows_.join(labels.withColumnRenamed("k", "rep"), "rep", "left").join(links, "rep", "left")
     rows_ = rows_.select("__id", "__k", F.coalesce("label", "rep").alias("label"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))

@@ -67,6 +67,39 @@ def test_large_buckets(spark):
     assert {r["class_id"] for r in om.near_duplicates(frame(spark, rows), small_bucket=4).collect()} == {0}
 
 
+def stations(n):
+    """``n`` texts at each of three places, neighbours alike and ends not, all in the one bucket that ``rows=1, bands=1`` makes."""
+    for seed in range(1000):
+        words = text(seed, 400).split()
+        rows = [(i, " ".join([*words[:100], *words[100 + 20 * (i % 3) : 300 + 20 * (i % 3)], f"own{i}"])) for i in range(3 * n)]
+        if len({k for _, t in rows for k in om.sketch(om.shingle_hashes(om.normalise(t)), 1, 1)}) == 1:
+            return rows
+
+
+def brute_near(rows, *kind):
+    """(class, links) by id over all pairs that share a bucket."""
+    h = {i: om.shingle_hashes(om.normalise(t)) for i, t in rows}
+    keys = {i: set(om.sketch(x, *kind)) for i, x in h.items()}
+    top, links = {i: i for i in h}, collections.Counter()
+    for i in h:
+        for j in range(i):
+            if keys[i] & keys[j] and om.similarity(h[i], h[j]) >= om.SIMILARITY:
+                links.update((i, j))
+                x, y = sorted((top[i], top[j]))
+                top = {k: x if v == y else v for k, v in top.items()}
+    return {i: (top[i], links[i]) for i in h}
+
+
+def test_every_pair_of_a_large_bucket_is_compared(spark):
+    rows = stations(25)
+    h = [om.shingle_hashes(t) for _, t in rows[:3]]
+    assert min(om.similarity(h[0], h[1]), om.similarity(h[1], h[2])) >= om.SIMILARITY > om.similarity(h[0], h[2])
+    want = brute_near(rows, 1, 1)
+    for block in (7, om.SMALL_BUCKET):
+        got = om.near_duplicates(frame(spark, rows), rows=1, bands=1, small_bucket=block).collect()
+        assert {r["doc_id"]: r["class_id"] for r in got} == {i: c for i, (c, _) in want.items()} == dict.fromkeys(range(75), 0)
+
+
 def test_banded_alignment():
     rnd = random.Random(3)
     for _ in range(60):
