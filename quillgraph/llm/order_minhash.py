@@ -281,7 +281,7 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(
     df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, least: float = SIMILARITY, rows: int = ROWS, bands: int = BANDS, small_bucket: int = SMALL_BUCKET
 ) -> DataFrame:
-    """Per input row: id, row key ``__k``, ``class_id``, ``class_size`` (rows), ``n_links`` (of its text to different ones), ``kept`` (first of its class)."""
+    """Per input row: id, row key ``__k``, ``class_id``, ``class_size`` (rows), ``n_links`` (the different texts among its text's candidates that reach ``least``), ``kept`` (first of its class)."""
     small_batches(df.sparkSession)
     docs = df.select(df[doc_id].alias("__id"), whole_text(df, text).alias("__t"))
     docs = docs.withColumn("__k", row_key(F.col("__id"), F.col("__t")))

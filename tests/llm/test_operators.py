@@ -100,6 +100,13 @@ def test_every_pair_of_a_large_bucket_is_compared(spark):
         assert {r["doc_id"]: r["class_id"] for r in got} == {i: c for i, (c, _) in want.items()} == dict.fromkeys(range(75), 0)
 
 
+def test_links_are_counted_over_all_candidate_pairs(spark):
+    rows = stations(8)
+    for kind in ((1, 1), (om.ROWS, om.BANDS)):
+        got = om.near_duplicates(frame(spark, rows), rows=kind[0], bands=kind[1], small_bucket=5).collect()
+        assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == brute_near(rows, *kind)
+
+
 def test_banded_alignment():
     rnd = random.Random(3)
     for _ in range(60):
