@@ -23,8 +23,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in no known language: without letters, or sharing no n-gram with any profile."""
+    """Drop documents in no known language: without letters, or sharing no n-gram with any profile; only the former where no language is known."""
     profiles = language.learn(docs.where(~language.held_out()))
+    if not profiles.names:
+        return docs.where(whole_text(docs).rlike(r"\p{L}"))
     return language.identify(docs, profiles, pred="__pred", score="__score").where("__pred <> 'und'").select(*docs.columns)
 
 

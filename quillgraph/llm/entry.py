@@ -20,7 +20,7 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", language.held_out())
     profiles = language.learn(docs.where("NOT held_out"))
-    return language.identify(docs.select("doc_id", "text", "held_out"), profiles).select("doc_id", "held_out", "lang_pred", "score")
+    return language.identify(docs.select("doc_id", "text", "held_out"), profiles, nearest=True).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,8 +10,9 @@ being the mean displacement as a part of ``top``.
 Profiles are learned from a bounded sample: about ``sample`` documents a language,
 chosen by a hash of the id.  Predictions see whole texts only.
 
-Edge cases: null text, a text without letters, or one none of whose n-grams occurs in
-any profile is ``und`` with score 0; so is every text where nothing could be learned.
+Edge cases: null text or a text without letters is ``und`` with score 0; so is every text
+where nothing could be learned.  A text none of whose n-grams occurs in any profile is
+equally far from all languages: with ``nearest`` it gets the first by name, else ``und``.
 Rows with null id are predicted, never learned from; repeated rows get equal results.
 """
 
@@ -84,13 +85,13 @@ class Profiles:
         for j, name in enumerate(self.names):
             self.ranks[np.searchsorted(self.codes, np.array(ranked[name], np.int64)), j] = np.arange(len(ranked[name]))
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def predict(self, text: str | None, nearest: bool = False) -> tuple[str, float]:
         own = profile(text, self.top)
         if not own.size or not self.codes.size:
             return "und", 0.0
         at = np.minimum(np.searchsorted(self.codes, own), self.codes.size - 1)
         known = self.codes[at] == own
-        if not known.any():
+        if not nearest and not known.any():
             return "und", 0.0
         ranks = np.where(known[:, None], self.ranks[at], -1)
         off = np.where(ranks >= 0, np.abs(ranks - np.arange(own.size)[:, None]), self.top).sum(0)
@@ -131,7 +132,7 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def identify(df: DataFrame, profiles: Profiles, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
+def identify(df: DataFrame, profiles: Profiles, text: str = "text", pred: str = "lang_pred", score: str = "score", nearest: bool = False) -> DataFrame:
     """``df`` with the prediction and its score as two more columns; all else passes through unread."""
     small_batches(df.sparkSession)
     rest = [c for c in df.columns if c not in (pred, score)]
@@ -140,7 +141,7 @@ def identify(df: DataFrame, profiles: Profiles, text: str = "text", pred: str =
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [shared.value.predict(t) for t in batch[text].cast(pa.string()).to_pylist()]
+            got = [shared.value.predict(t, nearest) for t in batch[text].cast(pa.string()).to_pylist()]
             yield pa.record_batch([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*rest, pred, score])
 
     return df.select(*[F.col(f"`{c}`") for c in rest]).mapInArrow(predict, schema)

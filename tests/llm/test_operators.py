@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.llm import decontaminate, html_crf, language, line_dedup, merkle, mixing, order_minhash as om, secret_scan, suffix_dedup, warc
+import corpus_pipeline
+from quillgraph.llm import decontaminate, entry, html_crf, language, line_dedup, merkle, mixing, order_minhash as om, secret_scan, suffix_dedup, warc
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 
@@ -141,6 +142,16 @@ def test_language(spark):
     assert sorted(n.tolist()) == sorted(brute.values()) and sum(brute.values()) == n.sum()
 
 
+def test_op3_names_a_language_for_any_letter(spark, tmp_path):
+    rows = [(i, ("der die und ich nicht " if i % 2 else "the and of to that ") * 5, "de" if i % 2 else "en") for i in range(30)] + [(100, None, None), (101, "123 !!", None), (102, "日本語", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in entry.op3_language(spark, str(tmp_path)).collect()}
+    assert got[100] == got[101] == ("und", 0.0) and got[102] == ("de", 0.5) and got[0][0] == "en" and got[1][0] == "de"
+    unknown = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r["doc_id"] for r in corpus_pipeline.language_id(spark, unknown, "").collect()} == {*range(30), 102}
+
+
 def test_mixing(spark):
     rnd = random.Random(5)
     rows, labels = [], []
