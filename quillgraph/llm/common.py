@@ -7,12 +7,18 @@ computes the array again, inside lambdas even once per element.
 
 from __future__ import annotations
 
+import re
 import tempfile
+import warnings
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of one key that a join gathers in a task, and keys that it may broadcast.
+OFTEN, BROADCAST_KEYS = 4096, 200_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -20,13 +26,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    A temporary folder stands in only where the setting is missing (single-machine tests).
+    Where the setting is missing a master of one machine gets a temporary folder, with a
+    warning; any other master is refused, since its executors could not read that folder.
     """
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     current = sc._jsc.sc().getCheckpointDir()
+    if where is None and current.isDefined():
+        where = current.get()
     if where is None:
-        where = current.get() if current.isDefined() else "file://" + tempfile.mkdtemp(prefix="checkpoints-")
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
+        warnings.warn(f"spark.checkpoint.dir is not set; {where} serves this machine alone", stacklevel=2)
     if current.isEmpty():
         sc.setCheckpointDir(where)
     return where
@@ -38,6 +50,32 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def dropped(*frames: DataFrame) -> None:
+    """Delete the files of checkpoints that nothing reads any more."""
+    for df in frames:
+        plan = df._jdf.queryExecution().logical()
+        file = plan.rdd().getCheckpointFile() if plan.getClass().getSimpleName() == "LogicalRDD" else None
+        if file is not None and file.isDefined():
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def split_join(rows: DataFrame, info: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """Inner join on ``keys``; ``info`` has unique keys and, in ``n``, how many of ``rows`` hold each.
+
+    Keys of more than max(OFTEN, sum of n / BROADCAST_KEYS) rows are joined apart by
+    broadcast, so no task gathers them; by their definition there are at most
+    BROADCAST_KEYS of these, whatever the input's size.
+    """
+    total = info.agg(F.sum(n)).first()[0] or 0
+    often = info.where(F.col(n) > max(OFTEN, total / BROADCAST_KEYS))
+    if often.isEmpty():
+        return rows.join(info, keys)
+    often = F.broadcast(often)
+    cold = rows.join(often.select(*keys), keys, "left_anti").join(info.where(F.col(n) <= max(OFTEN, total / BROADCAST_KEYS)), keys)
+    return cold.unionByName(rows.join(often, keys).select(*cold.columns))
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Bound what one Arrow batch of whole texts holds."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

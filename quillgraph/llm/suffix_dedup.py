@@ -4,55 +4,65 @@ A window is ``length`` consecutive bytes of one document.  A suffix array over a
 would not be distributed, so texts are first cut to the places that can repeat at all:
 each window elects an anchor, its ``anchor`` bytes of smallest hash (leftmost on ties).
 Equal windows elect equal anchors at equal distance, so a window can only repeat where
-its anchor does.  Consecutive windows with the same anchor form a context; equal contexts
-repeat as a whole and need no more work.  Only anchors with several different contexts
-go on: their contexts (one copy each) are gathered by anchor, put in suffix order to
-depth ``length`` by prefix doubling, and the neighbours of smaller and larger position in
-that order (previous and next smaller values of the suffix array, cut at ``length``) tell
-whether the longest previous, or next, factor of a position reaches ``length``.
+its anchor does.  Consecutive windows with the same anchor form a context; contexts with
+equal bytes (by a 128-bit BLAKE2 digest of them) repeat as a whole and need no more work.
+Only anchors with several different contexts go on: their contexts (one copy each) are
+gathered by anchor and put in suffix order to depth ``length`` by prefix doubling.  The
+longest previous factor of a position is the longer of its common prefixes with the
+suffixes at the previous and the next smaller position in that order, the longest next
+factor that with the larger ones; a window repeats where a factor reaches ``length``.
 
 An anchor with more than ``hot`` different contexts is never gathered: its windows'
-128-bit hashes are counted by a pre-aggregated shuffle instead, with the same result.
+128-bit digests are counted by a pre-aggregated shuffle instead, with the same result.
 
 ``keep_first=False`` removes every copy of a repeated window, the first included;
 ``keep_first=True`` spares the first by (doc_id, row key, position).
 
-Edge cases: null is the empty text; texts below ``length`` bytes stay whole; repeated
-rows repeat each other; an empty table gives an empty result.
+``shared_words`` finds, by the same election over words (white-space-separated, by 64-bit
+hashes), passages of ``PASSAGE`` words or more that another document holds too, however
+few bytes they have.
+
+Edge cases: null is the empty text; texts below ``length`` bytes stay whole, as do those
+below ``PASSAGE`` words; repeated rows repeat each other; an empty table gives an empty
+result; very long texts are read in segments; extra columns are not read, whatever their
+names.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import checkpointed, row_key, small_batches, whole_text
+from quillgraph.llm.common import checkpointed, dropped, row_key, small_batches, split_join, whole_text
 from quillgraph.llm.order_minhash import _P, _mix, _powers
 
-LENGTH, ANCHOR, HOT = 400, 128, 20_000
-BROADCAST_ROWS = 200_000
+LENGTH, ANCHOR, HOT = 400, 128, 4_000
+PASSAGE, WORD_ANCHOR = 51, 24
+#: Rows, and bytes of all their lists, of a side that may be broadcast; beyond either the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 SEGMENT = 1 << 19
-#: Bytes of contexts that one suffix array holds, unless a single anchor has more.
-CHUNK = 4 << 20
+#: Bytes of contexts that one suffix array holds; a single anchor has at most ``hot`` contexts.
+CHUNK = 2 << 20
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-def _sums(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    p, inv = _powers(raw.size + 1)
-    return np.append(np.uint64(0), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * p[: raw.size], dtype=np.uint64)), inv
+def _sums(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    p, inv = _powers(symbols.size + 1)
+    return np.append(np.uint64(0), np.cumsum((symbols.astype(np.uint64) + np.uint64(1)) * p[: symbols.size], dtype=np.uint64)), inv
 
 
-def contexts(raw: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def contexts(symbols: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each run of windows with the same anchor: first start, number of windows, hash of the anchor, hash of the context."""
     parts = []
-    last = raw.size - length  # the last window's start
+    last = symbols.size - length  # the last window's start
     for at in range(0, last + 1, SEGMENT):
         own = min(SEGMENT, last + 1 - at)  # windows that start in this segment
-        piece = raw[at : at + own + length - 1]
+        piece = symbols[at : at + own + length - 1]
         sums, inv = _sums(piece)
         n = piece.size - anchor + 1
         h = _mix((sums[anchor:] - sums[:n]) * inv[:n])
@@ -77,8 +87,28 @@ def contexts(raw: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tup
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def suffix_ranks(raw: np.ndarray, length: int) -> np.ndarray:
-    """For each position its rank in suffix order cut at ``length`` bytes; equal ranks mean equal strings.
+def word_symbols(raw: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each white-space-separated word, in order."""
+    inside = np.append(~_SPACE[raw], False)
+    edge = np.flatnonzero(np.diff(np.append(False, inside).astype(np.int8)))
+    start, end = edge[::2], edge[1::2]
+    out = np.empty(start.size, np.uint64)
+    long = np.flatnonzero(end - start > 4096)
+    at = 0
+    while at < start.size:
+        to = max(at + 1, int(np.searchsorted(start, start[at] + SEGMENT)))
+        lo, hi = int(start[at]), int(min(end[to - 1], start[to - 1] + 4096))
+        sums, inv = _sums(raw[lo:hi])
+        s = start[at:to] - lo
+        out[at:to] = (sums[np.minimum(end[at:to] - lo, hi - lo)] - sums[s]) * inv[s]
+        at = to
+    for i in long.tolist():
+        out[i] = np.frombuffer(hashlib.blake2b(raw[start[i] : end[i]].tobytes(), digest_size=8).digest(), np.uint64)[0]
+    return _mix(out)
+
+
+def rank_levels(raw: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
+    """(depth, rank of each position in suffix order cut at that depth) for depths 4, 8, ... and ``length``.
 
     Prefix doubling over sorted pairs of ranks; positions with fewer bytes left are padded.
     """
@@ -87,156 +117,253 @@ def suffix_ranks(raw: np.ndarray, length: int) -> np.ndarray:
     key = np.zeros(n + length - step, np.int64)
     for i in range(step):
         key = (key << 8) | padded[i : i + key.size]
-    rank = np.unique(key, return_inverse=True)[1]
+    out = [(step, np.unique(key, return_inverse=True)[1].astype(np.int32))]
     while step < length:
-        jump = min(step, length - step)
-        key = (rank[: rank.size - jump] << 32) | rank[jump:]
-        rank, step = np.unique(key, return_inverse=True)[1], step + jump
-    return rank[:n]
-
-
-def factor_reaches(ranks: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether the longest previous factor and the longest next factor reach the depth of ``ranks``.
-
-    In suffix order, equal ranks are neighbours: a smaller position among them is the
-    previous smaller value, a larger one the next.
-    """
-    order = np.lexsort((position, ranks))
-    same = ranks[order][1:] == ranks[order][:-1]
-    before, after = np.zeros(ranks.size, bool), np.zeros(ranks.size, bool)
-    before[order[1:]], after[order[:-1]] = same, same
-    return before, after
-
+        jump, rank = min(step, length - step), out[-1][1]
+        key = (rank[: rank.size - jump].astype(np.int64) << 32) | rank[jump:]
+        step += jump
+        out.append((step, np.unique(key, return_inverse=True)[1].astype(np.int32)))
+    return out
+
+
+def nearest_smaller(values: np.ndarray) -> np.ndarray:
+    """For each place the nearest earlier place of a smaller value, -1 without one; by pointer jumping."""
+    at = np.arange(values.size) - 1
+    todo = np.flatnonzero(at >= 0)
+    while todo.size:
+        todo = todo[values[at[todo]] > values[todo]]
+        at[todo] = at[at[todo]]
+        todo = todo[at[todo] >= 0]
+    return at
+
+
+def factors(raw: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The longest previous and the longest next factor among ``starts``, both cut at ``length``."""
+    levels = rank_levels(raw, length)
+    order = np.lexsort((starts, levels[-1][1][starts]))
+    sa = starts[order].astype(np.int64)
+    padded = np.append(raw, np.zeros(length, np.uint8))
+    halves = [(d, r) for d, r in levels if d & (d - 1) == 0][::-1]
+
+    def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Length of the common prefix of the suffixes at ``a`` and ``b``."""
+        size = np.zeros(a.size, np.int64)
+        for depth, rank in halves:
+            inside = np.maximum(a, b) + size < rank.size
+            x, y = np.where(inside, a + size, 0), np.where(inside, b + size, 0)
+            size += depth * (inside & (rank[x] == rank[y]))
+        open_ = np.ones(a.size, bool)
+        for _ in range(3):
+            open_ &= (np.maximum(a, b) + size < padded.size) & (size < length)
+            open_ &= padded[np.where(open_, a + size, 0)] == padded[np.where(open_, b + size, 0)]
+            size += open_
+        return np.minimum(size, length)
+
+    def longest(values: np.ndarray) -> np.ndarray:
+        out = np.zeros(sa.size, np.int64)
+        before = nearest_smaller(values)
+        after = sa.size - 1 - nearest_smaller(values[::-1])[::-1]
+        for other, known in ((before, before >= 0), (after, after < sa.size)):
+            i = np.flatnonzero(known)
+            out[i] = np.maximum(out[i], common(sa[i], sa[other[i]]))
+        back = np.empty_like(out)
+        back[order] = out
+        return back
+
+    return longest(sa), longest(-sa)
+
+
+def _anchored(docs: DataFrame, length: int, anchor: int, words: int) -> DataFrame:
+    """Byte contexts (place, ah, c1, c2) and word contexts (wplace, wah, wch) of each text; place = start * 2^20 + windows."""
 
-def _anchored(docs: DataFrame, length: int, anchor: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: tuple[list, ...] = ([], [], [], [])
+            cols: list[list] = [[] for _ in range(7)]
             for text in batch["__t"].to_pylist():
-                for col, x in zip(cols, contexts(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), length, anchor), strict=True):
+                data = text.encode("utf-8", "surrogatepass")
+                raw, view = np.frombuffer(data, np.uint8), memoryview(data)
+                start, count, ah, _ = contexts(raw, length, anchor)
+                digests = b"".join([hashlib.blake2b(view[s:e], digest_size=16).digest() for s, e in zip(start.tolist(), (start + count - 1 + length).tolist(), strict=True)])
+                pair = np.frombuffer(digests, np.int64).reshape(-1, 2)
+                ws, wn, wah, wch = contexts(word_symbols(raw), words, min(WORD_ANCHOR, words))
+                for col, x in zip(cols, ((start << 20) | count, ah, pair[:, 0], pair[:, 1], (ws << 20) | wn, wah, wch), strict=True):
                     col.append(x)
-            place = [(s << 20) | n for s, n in zip(cols[0], cols[1], strict=True)]
-            yield pa.record_batch([batch["__id"], batch["__k"], *(pa.array(x, pa.list_(pa.int64())) for x in (place, cols[2], cols[3]))], ["__id", "__k", "place", "ah", "ch"])
+            yield pa.record_batch([batch["__id"], batch["__k"], *(pa.array(x, pa.list_(pa.int64())) for x in cols)], ["__id", "__k", "place", "ah", "c1", "c2", "wplace", "wah", "wch"])
 
     kind = docs.schema["__id"].dataType.simpleString()
-    return docs.where(F.octet_length("__t") >= length).select("__id", "__k", "__t").mapInArrow(run, f"__id {kind}, __k long, place array<long>, ah array<long>, ch array<long>")
+    schema = ", ".join(f"{c} array<long>" for c in ("place", "ah", "c1", "c2", "wplace", "wah", "wch"))
+    return docs.where(F.octet_length("__t") >= min(length, 2 * words - 1)).select("__id", "__k", "__t").mapInArrow(run, f"__id {kind}, __k long, {schema}")
 
 
 def _gathered(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
-    """rows: ah, ch, ord, ctx, together by ah and sorted by (ah, ord).  Returns ah, ch and the repeating runs of windows."""
+    """rows: ah, c1, c2, ord, ctx, together by ah and sorted by (ah, ord).  Returns c1, c2 and the repeating runs of windows."""
 
     def settle(group: list[tuple]) -> pa.RecordBatch:
-        ahs, chs, texts = zip(*group, strict=True)
+        _, c1, c2, texts = zip(*group, strict=True)
         sizes = np.array([len(t) for t in texts])
         ends = np.cumsum(sizes)
         raw = np.frombuffer(b"".join(texts), np.uint8)
-        ranks = suffix_ranks(raw, length)
         owner = np.repeat(np.arange(sizes.size), sizes)
         starts = np.flatnonzero(np.arange(raw.size) + length <= ends[owner])
-        before, after = factor_reaches(ranks[starts], starts)
-        hit = before if keep_first else before | after
+        before, after = factors(raw, starts, length)
+        found = starts[before >= length if keep_first else np.maximum(before, after) >= length]
         spans: list[list[dict]] = [[] for _ in texts]
-        found = starts[hit]
         first = np.flatnonzero(np.append(True, (np.diff(found) != 1) | (np.diff(owner[found]) != 0))) if found.size else np.zeros(0, int)
         for s, n in zip(found[first], np.diff(np.append(first, found.size)), strict=True):
             o = owner[s]
             spans[o].append({"j": int(s - (ends[o] - sizes[o])), "n": int(n)})
-        return pa.record_batch([pa.array(ahs, pa.int64()), pa.array(chs, pa.int64()), pa.array(spans, pa.list_(pa.struct([("j", pa.int32()), ("n", pa.int32())])))], ["ah", "ch", "runs"])
+        return pa.record_batch([pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(spans, pa.list_(pa.struct([("j", pa.int32()), ("n", pa.int32())])))], ["c1", "c2", "runs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
         held = 0
         for batch in batches:
-            for row in zip(*(batch[c].to_pylist() for c in ("ah", "ch", "ctx")), strict=True):
-                if group and row[:2] == group[-1][:2]:
+            for row in zip(*(batch[c].to_pylist() for c in ("ah", "c1", "c2", "ctx")), strict=True):
+                if group and row[:3] == group[-1][:3]:
                     continue  # a repeated row
                 if held >= CHUNK and row[0] != group[-1][0]:
                     yield settle(group)
                     group, held = [], 0
                 group.append(row)
-                held += len(row[2])
+                held += len(row[3])
         if group:
             yield settle(group)
 
-    return rows.select("ah", "ch", "ctx").mapInArrow(run, "ah long, ch long, runs array<struct<j: int, n: int>>")
+    return rows.select("ah", "c1", "c2", "ctx").mapInArrow(run, "c1 long, c2 long, runs array<struct<j: int, n: int>>")
 
 
 def _counted(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
-    """As ``_gathered``, by counting the windows' hashes."""
+    """As ``_gathered``, by counting the windows' digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, ctx in enumerate(batch["ctx"].to_pylist()):
                 n = len(ctx) - length + 1
                 d = np.frombuffer(b"".join(hashlib.blake2b(ctx[j : j + length], digest_size=16).digest() for j in range(n)), np.int64).reshape(-1, 2)
-                one = batch.slice(i, 1).select(["ah", "ch", "ord"])
-                yield pa.record_batch([*(pa.concat_arrays([c] * n) for c in one.columns), pa.array(np.arange(n, dtype=np.int32)), pa.array(d[:, 0]), pa.array(d[:, 1])], ["ah", "ch", "ord", "j", "h1", "h2"])
+                one = batch.slice(i, 1).select(["c1", "c2", "ord"])
+                yield pa.record_batch([*(pa.concat_arrays([c] * n) for c in one.columns), pa.array(np.arange(n, dtype=np.int32)), pa.array(d[:, 0]), pa.array(d[:, 1])], ["c1", "c2", "ord", "j", "h1", "h2"])
 
     kind = rows.schema["ord"].dataType.simpleString()
-    windows = rows.select("ah", "ch", "ord", "ctx").mapInArrow(run, f"ah long, ch long, ord {kind}, j int, h1 long, h2 long")
-    windows = checkpointed(windows)
+    windows = checkpointed(rows.select("c1", "c2", "ord", "ctx").mapInArrow(run, f"c1 long, c2 long, ord {kind}, j int, h1 long, h2 long"))
     many = windows.groupBy("h1", "h2").agg(F.min("ord").alias("first"), F.count("*").alias("n")).where("n > 1")
-    hit = windows.join(many, ["h1", "h2"]).where(F.col("ord") != F.col("first") if keep_first else F.lit(True))
-    return hit.groupBy("ah", "ch").agg(F.collect_list(F.struct("j", F.lit(1).alias("n"))).alias("runs"))
+    hit = split_join(windows, checkpointed(many), ["h1", "h2"]).where(F.col("ord") != F.col("first") if keep_first else F.lit(True))
+    return hit.groupBy("c1", "c2").agg(F.collect_list(F.struct("j", F.lit(1).alias("n"))).alias("runs"))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, keep_first: bool = False, hot: int = HOT) -> DataFrame:
-    """``docs``: __id, __k, __t.  Returns __k and ``spans``: the byte ranges (s, e) to remove; they may overlap."""
-    places = checkpointed(_anchored(docs, length, anchor))
-    rows = places.select("__id", "__k", F.explode_outer(F.arrays_zip("place", "ah", "ch")).alias("x")).select("__id", "__k", "x.*")
-    by_anchor = rows.groupBy("ah").agg(F.count("*").alias("n"), F.min("ch").alias("lo"), F.max("ch").alias("hi")).where("n > 1").selectExpr("ah", "lo <> hi AS mixed")
-    rows = checkpointed(rows.join(by_anchor, "ah").select("ah", "ch", "mixed", F.struct("__id", "__k", "place").alias("at")))
-    by_context = checkpointed(rows.groupBy("ah", "ch").agg(F.count("*").alias("copies"), F.min("at").alias("ord"), F.first("mixed").alias("mixed")))
+def _small(df: DataFrame, lists: str) -> DataFrame:
+    """``df`` (checkpointed) marked for broadcast where its checked rows and bytes allow."""
+    size = df.agg(F.count("*").alias("n"), F.sum(F.size(lists)).alias("items")).first()
+    few = size["n"] <= BROADCAST_ROWS and 48 * size["n"] + 96 * (size["items"] or 0) <= BROADCAST_BYTES
+    return F.broadcast(df) if few else df
+
+
+def repeated_spans(docs: DataFrame, places: DataFrame, length: int = LENGTH, keep_first: bool = False, hot: int = HOT) -> DataFrame:
+    """``docs``: __k, __t; ``places`` as of ``_anchored``.  Returns __k and ``spans``: the byte ranges (s, e) to remove; they may overlap."""
+    rows = places.select("__id", "__k", F.explode_outer(F.arrays_zip("place", "ah", "c1", "c2")).alias("x")).select("__id", "__k", "x.*").where("place IS NOT NULL")
+    by_anchor = checkpointed(rows.groupBy("ah").agg(F.count("*").alias("n"), F.min("c1").alias("lo"), F.max("c1").alias("hi")).where("n > 1").selectExpr("ah", "n", "lo <> hi AS mixed"))
+    rows = checkpointed(split_join(rows, by_anchor, ["ah"]).select("ah", "c1", "c2", "mixed", F.struct("__id", "__k", "place").alias("at")))
+    # The salt keeps contexts of one anchor apart, however the rows lie after the join.
+    by_context = checkpointed(rows.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.min("at").alias("ord"), F.first("ah").alias("ah"), F.first("mixed").alias("mixed")))
+    dropped(by_anchor)
     mixed = by_context.where("mixed")
-    crowds = mixed.groupBy("ah").agg((F.count("*") > hot).alias("hot"))
-    mixed = mixed.join(crowds, "ah").select("ah", "ch", "ord", "hot", F.col("ord.__k").alias("__k"), F.shiftright("ord.place", 20).cast("int").alias("s"), (F.expr("ord.place & 1048575") - 1 + length).cast("int").alias("n"))
-    by_doc = checkpointed(mixed.groupBy("__k").agg(F.collect_list(F.struct("ah", "ch", "ord", "hot", "s", "n")).alias("cuts")))
-    few = by_doc.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    crowds = checkpointed(mixed.groupBy("ah").agg(F.count("*").alias("m")).where(F.col("m") > hot).select("ah", F.lit(True).alias("hot")))  # at most contexts / hot rows
+    crowded = crowds.limit(BROADCAST_ROWS + 1).count()
+    mixed = mixed.join(F.broadcast(crowds) if crowded <= BROADCAST_ROWS else crowds, "ah", "left")
+    mixed = mixed.select("ah", "c1", "c2", "ord", F.coalesce("hot", F.lit(False)).alias("hot"), F.col("ord.__k").alias("__k"), F.shiftright("ord.place", 20).cast("int").alias("s"), (F.expr("ord.place & 1048575") - 1 + length).cast("int").alias("n"))
+    by_doc = checkpointed(mixed.groupBy("__k").agg(F.collect_list(F.struct("ah", "c1", "c2", "ord", "hot", "s", "n")).alias("cuts")))
     binary = docs.select("__k", F.col("__t").cast("binary").alias("__b"))
-    texts = binary.join(F.broadcast(by_doc) if few else by_doc, "__k")
-    cut = "transform(cuts, c -> struct(c.ah AS ah, c.ch AS ch, c.ord AS ord, c.hot AS hot, substring(__b, c.s + 1, c.n) AS ctx))"
+    texts = binary.join(_small(by_doc, "cuts"), "__k")
+    cut = "transform(cuts, c -> struct(c.ah AS ah, c.c1 AS c1, c.c2 AS c2, c.ord AS ord, c.hot AS hot, substring(__b, c.s + 1, c.n) AS ctx))"
     cuts = texts.select(F.explode_outer(F.expr(cut)).alias("c")).select("c.*")
-    cold = cuts.where("NOT hot").repartition("ah").sortWithinPartitions("ah", "ord", "ch")
+    cold = cuts.where("NOT hot").repartition("ah").sortWithinPartitions("ah", "ord", "c1", "c2")
     runs = _gathered(cold, length, keep_first)
-    if crowds.where("hot").limit(1).count():
-        runs = runs.union(_counted(cuts.where("hot").dropDuplicates(["ah", "ch"]), length, keep_first))
-    runs = checkpointed(runs.where("size(runs) > 0").groupBy("ah", "ch").agg(F.flatten(F.collect_set("runs")).alias("runs")))
-    whole = F.expr("at <> ord") if keep_first else F.expr("copies > 1")
-    rows = rows.join(by_context.select("ah", "ch", "copies", "ord"), ["ah", "ch"]).join(runs, ["ah", "ch"], "left")
-    rows = rows.select(F.col("at.__k").alias("__k"), F.shiftright("at.place", 20).alias("s"), F.expr("at.place & 1048575").alias("n"), "runs", whole.alias("whole")).where("whole OR runs IS NOT NULL")
-    span = f"CASE WHEN whole THEN array(struct(s AS s, s + n - 1 + {length} AS e)) ELSE transform(runs, r -> struct(s + r.j AS s, s + r.j + r.n - 1 + {length} AS e)) END"
-    return rows.select("__k", F.expr(span).alias("spans")).groupBy("__k").agg(F.flatten(F.collect_set("spans")).alias("spans"))
-
-
-def dedup_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR, keep_first: bool = True, hot: int = HOT, with_kept: bool = True) -> DataFrame:
-    """Per input row: id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the ``kept`` bytes."""
+    if crowded:
+        runs = runs.union(_counted(cuts.where("hot").dropDuplicates(["c1", "c2"]), length, keep_first))
+    runs = checkpointed(runs.where("size(runs) > 0").groupBy("c1", "c2").agg(F.flatten(F.collect_set("runs")).alias("runs")))
+    dropped(by_doc)
+    whole = F.expr("at <> ord") if keep_first else F.expr("n > 1")
+    info = by_context.select("c1", "c2", "n", "ord").join(runs, ["c1", "c2"], "left").where("n > 1 OR runs IS NOT NULL")
+    found = split_join(rows.select("c1", "c2", "at"), checkpointed(info), ["c1", "c2"])
+    found = found.select(F.col("at.__k").alias("__k"), F.shiftright("at.place", 20).alias("s"), F.expr("at.place & 1048575").alias("w"), "runs", whole.alias("whole")).where("whole OR runs IS NOT NULL")
+    span = f"CASE WHEN whole THEN array(struct(s AS s, s + w - 1 + {length} AS e)) ELSE transform(runs, r -> struct(s + r.j AS s, s + r.j + r.n - 1 + {length} AS e)) END"
+    return found.select("__k", F.expr(span).alias("spans"))
+
+
+def shared_words(docs: DataFrame, places: DataFrame, words: int = PASSAGE) -> DataFrame:
+    """As ``repeated_spans``, in words: the passages of ``words`` words or more that another row holds too."""
+    rows = places.select("__k", F.explode_outer(F.arrays_zip("wplace", "wah", "wch")).alias("x")).select("__k", F.col("x.wplace").alias("place"), F.col("x.wah").alias("ah"), F.col("x.wch").alias("ch")).where("place IS NOT NULL")
+    by_anchor = checkpointed(rows.groupBy("ah").agg(F.count("*").alias("n"), F.min("__k").alias("lo"), F.max("__k").alias("hi"), F.min("ch").alias("c"), F.max("ch").alias("d")).where("lo <> hi").selectExpr("ah", "n", "c <> d AS mixed"))
+    rows = checkpointed(split_join(rows, by_anchor, ["ah"]).select("ah", "ch", "mixed", "__k", "place"))
+    dropped(by_anchor)
+    by_context = checkpointed(rows.groupBy("ch").agg(F.count("*").alias("n"), F.min("__k").alias("lo"), F.max("__k").alias("hi"), F.min(F.struct("__k", "place")).alias("at"), F.first("mixed").alias("mixed")))
+    # One copy of each context of a mixed anchor: its windows, with the range of rows that hold it.
+    by_doc = checkpointed(by_context.where("mixed").groupBy(F.col("at.__k").alias("__k")).agg(F.collect_list(F.struct("at.place", "ch", "lo", "hi")).alias("cuts")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, cuts in zip(batch["__t"].to_pylist(), batch["cuts"].to_pylist(), strict=True):
+                symbols = word_symbols(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8))
+                sums, inv = _sums(symbols)
+                place = np.array([c["place"] for c in cuts], np.int64)
+                start, count = place >> 20, place & 1048575
+                which = np.repeat(np.arange(count.size), count)
+                j = np.arange(which.size) - np.repeat(np.cumsum(count) - count, count)
+                s = start[which] + j
+                h = _mix((sums[s + words] - sums[s]) * inv[s]).view(np.int64)
+                rest = [np.array([c[x] for c in cuts], np.int64)[which] for x in ("ch", "lo", "hi")]
+                yield pa.record_batch([pa.array(x) for x in (h, j, *rest)], ["h", "j", "ch", "lo", "hi"])
+
+    texts = docs.select("__k", "__t").join(_small(by_doc, "cuts"), "__k").dropDuplicates(["__k"])
+    windows = checkpointed(texts.select("__t", "cuts").mapInArrow(run, "h long, j long, ch long, lo long, hi long"))
+    dropped(by_doc)
+    many = checkpointed(windows.groupBy("h").agg(F.count("*").alias("n"), F.min("lo").alias("a"), F.max("hi").alias("b")).where("a <> b").select("h", "n"))
+    runs = split_join(windows.where("lo = hi").select("h", "j", "ch"), many, ["h"]).groupBy("ch").agg(F.collect_set("j").alias("runs"))
+    info = by_context.join(checkpointed(runs), "ch", "left").where("lo <> hi OR runs IS NOT NULL").select("ch", "n", (F.col("lo") != F.col("hi")).alias("whole"), "runs")
+    found = split_join(rows.select("ch", "__k", "place"), checkpointed(info), ["ch"])
+    span = f"CASE WHEN whole THEN array(struct(s AS s, s + w - 1 + {words} AS e)) ELSE transform(runs, j -> struct(s + j AS s, s + j + {words} AS e)) END"
+    return found.select("__k", F.shiftright("place", 20).alias("s"), F.expr("place & 1048575").alias("w"), "whole", "runs").select("__k", F.expr(span).alias("spans"))
+
+
+def _covered(spans) -> Iterator[tuple[int, int]]:
+    """The disjoint runs that sorted, perhaps overlapping spans cover."""
+    at, upto = None, 0
+    for s, e in sorted((x["s"], x["e"]) for x in spans):
+        if at is not None and s <= upto:
+            upto = max(upto, e)
+            continue
+        if at is not None:
+            yield at, upto
+        at, upto = s, e
+    if at is not None:
+        yield at, upto
+
+
+def dedup_repeats(
+    df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR, keep_first: bool = True, hot: int = HOT, with_kept: bool = True, words: int = PASSAGE
+) -> DataFrame:
+    """Per input row: id, n_bytes, n_removed, n_spans, kept_sha256, n_shared_words (words in passages of ``words`` or more that another document holds) and, if asked for, the ``kept`` bytes."""
     small_batches(df.sparkSession)
     docs = df.select(df[doc_id].alias("__id"), whole_text(df, text).alias("__t"))
     docs = docs.withColumn("__k", row_key(F.col("__id"), F.col("__t")))
-    spans = repeated_spans(docs, length, anchor, keep_first, hot)
+    places = checkpointed(_anchored(docs, length, anchor, words))
+    none = "cast(NULL AS array<struct<s: bigint, e: bigint>>)"
+    spans = repeated_spans(docs, places, length, keep_first, hot).selectExpr("__k", "spans", f"{none} AS shared")
+    spans = spans.unionByName(shared_words(docs, places, words).selectExpr("__k", f"{none} AS spans", "spans AS shared"))
+    spans = spans.groupBy("__k").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.flatten(F.collect_set("shared")).alias("shared"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for t, s in zip(batch["__t"].to_pylist(), batch["spans"], strict=True):
+            for t, s, w in zip(batch["__t"].to_pylist(), batch["spans"], batch["shared"], strict=True):
                 raw = t.encode("utf-8", "surrogatepass")
-                found, kept, upto = 0, [], 0
-                removed = 0
-                if s.is_valid:
-                    at = -1  # end of the run so far
-                    for x in sorted((y["s"], y["e"]) for y in s.as_py()):
-                        if x[0] > at:
-                            found += 1
-                            kept.append(raw[upto : x[0]])
-                        removed += max(0, x[1] - max(at, x[0]))
-                        at = upto = max(at, x[1])
-                kept.append(raw[upto:])
-                raw_kept = b"".join(kept)
-                out.append((len(raw), removed, found, hashlib.sha256(raw_kept).hexdigest(), raw_kept if with_kept else None))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            arrays = [pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)]
-            yield pa.record_batch([batch["__id"], *arrays], [doc_id, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                gone = list(_covered(s.as_py() or []))
+                edges = [0, *(x for run in gone for x in run), len(raw)]
+                kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+                out.append((len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), sum(e - b for b, e in _covered(w.as_py() or [])), kept if with_kept else None))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 6
+            arrays = [pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()), strict=True)]
+            yield pa.record_batch([batch["__id"], *arrays], [doc_id, "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_words", "kept"])
 
     kind = docs.schema["__id"].dataType.simpleString()
-    out = docs.join(spans, "__k", "left").select("__id", "__t", "spans").mapInArrow(run, f"`{doc_id}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = docs.join(spans, "__k", "left").select("__id", "__t", "spans", "shared").mapInArrow(run, f"`{doc_id}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared_words long, kept binary")
     return out if with_kept else out.drop("kept")
