@@ -73,14 +73,19 @@ QUERIES = {
 
 
 def _tree(text: str) -> str:
-    """(doc_id, root and leaves, phrase hashes) of ``text`` over d, in DuckDB."""
-    marked = f"regexp_replace(x, '{merkle.PHRASE_END}', '\\1\\2' || chr(31), 'g')"
-    codes = f"list_transform(list_filter(string_split(replace({marked}, chr(10), chr(31)), chr(31)), lambda y: y <> ''), lambda y: substr(md5(y), 1, 6))"
+    """(doc_id, serialised tree, leaves) of ``text`` over e, in DuckDB."""
+    cuts = f"list_filter(range(1, len(w) + 1), lambda i: i = 1 OR substr(md5(w[i - 1]), 1, 1) IN {merkle.ENDS})"
+    leaf = "sha256(array_to_string(w[a:coalesce(c[k + 1] - 1, len(w))], ''))"
     to = "coalesce(S[k + 1] - 1, len(P))"
-    return f"""(SELECT doc_id, sha256(array_to_string(list_transform(S, lambda a, k: sha256(array_to_string(H[a:{to}], ''))), '')) || ':' ||
-  array_to_string(list_transform(S, lambda a, k: array_to_string(list_transform(C[a:{to}], lambda y: array_to_string(y, '')), ';')), '|') AS fp, list_distinct(flatten(C)) AS ph
- FROM (SELECT *, list_filter(range(1, len(P) + 1), lambda i: i = 1 OR P[i - 1] = '' OR substr(H[i - 1], 1, 1) IN ('0', '1')) AS S
-  FROM (SELECT doc_id, P, list_transform(P, lambda x: sha256(x)) AS H, list_transform(P, lambda x: {codes}) AS C FROM (SELECT doc_id, string_split({text}, chr(10)) AS P FROM e))))"""
+    shown = f"list_transform(list_zip(H[a:{to}], C[a:{to}]), lambda z: substr(z[1], 1, 16) || '.' || array_to_string(list_transform(z[2], lambda y: substr(y, 1, 6)), ''))"
+    return f"""(SELECT doc_id, sha256(array_to_string(G, '')) || ':' || array_to_string(list_transform(S, lambda a, k: substr(G[k], 1, 16) || '=' || array_to_string({shown}, ';')), '|') AS fp,
+  list_distinct(list_transform(flatten(C), lambda y: substr(y, 1, 6))) AS ph
+ FROM (SELECT *, list_transform(S, lambda a, k: sha256('section' || array_to_string(H[a:{to}], ''))) AS G
+  FROM (SELECT *, list_filter(range(1, len(P) + 1), lambda i: i = 1 OR P[i - 1] = '' OR substr(H[i - 1], 1, 1) IN {merkle.ENDS}) AS S
+   FROM (SELECT *, list_transform(C, lambda y: sha256('paragraph' || array_to_string(y, ''))) AS H
+    FROM (SELECT doc_id, list(x ORDER BY n) AS P, list(CASE WHEN len(w) = 0 THEN [] ELSE list_transform(c, lambda a, k: {leaf}) END ORDER BY n) AS C
+     FROM (SELECT *, {cuts} AS c FROM (SELECT *, regexp_extract_all(x, '{merkle.WORD}', 0) AS w
+      FROM (SELECT doc_id, P[n] AS x, n FROM (SELECT doc_id, P, unnest(range(1, len(P) + 1)) AS n FROM (SELECT doc_id, string_split({text}, chr(10)) AS P FROM e))))) GROUP BY doc_id)))))"""
 
 
 def _near(a: str, b: str, same: str) -> str:

@@ -1,19 +1,25 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and phrases.
 
-A paragraph is a line.  A section is a run of paragraphs; it ends after a blank
-paragraph or after one whose hash starts with 0 or 1 (content-defined, so an edit
-moves no distant boundary).  Paragraph hash = SHA-256 of its text, section hash =
-SHA-256 over its paragraphs' hashes, root = SHA-256 over the sections' hashes: two
-texts are equal exactly when their roots are.  Below each paragraph lie the short
-hashes of its phrases (content-defined pieces of a few words), which make the
-likeness of two trees graded and locate an edit inside a paragraph.
-
-Serialised form: ``root:p;p|p;p`` with sections separated by ``|``, paragraphs by
-``;`` and each paragraph as the concatenated six-digit hashes of its phrases.
-
-Edge cases: null is the empty text; it has one empty paragraph and no phrase.  Two
-trees with equal roots have likeness 1, otherwise the Dice coefficient of their sets
-of phrase hashes (0 if both are empty).  Repeated rows get equal results.
+A paragraph is a line; a phrase (the leaf) is a run of words with the white space after
+them that ends after a word whose MD5 starts with 0 or 1, so about every eighth, in any
+script (each sign of scripts without spaces counts as a word).  A section is a run of
+paragraphs; it ends after a blank one or one whose hash starts with 0 or 1.  All cuts
+depend on content alone, so an edit moves no distant boundary.
+
+Leaf = SHA-256 of the phrase, paragraph = SHA-256 over its leaves, section = SHA-256 over
+its paragraphs, root = SHA-256 over the sections: two texts are equal exactly when their
+roots are, and a differing root leads down to the sections, paragraphs and phrases at
+fault.
+
+Serialised form: ``root:section|section``, a section ``hash=paragraph;paragraph``, a
+paragraph ``hash.leaves``; root with 64 digits, section and paragraph hashes cut to 16,
+leaves to 6 digits each.
+
+Edge cases: null is the empty text; it has one empty paragraph without a leaf.  Two trees
+with equal roots have likeness 1, otherwise the Dice coefficient of their sets of leaves
+(0 if both are empty).  Repeated rows get equal fingerprints, and so do equal texts under
+any id; ids may be of any orderable type, null first; an empty table gives an empty
+result; a very long text is one row throughout; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -23,94 +29,121 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.common import whole_text
 
-#: A phrase ends before the white space after one of these characters.
-PHRASE_END = r"([\p{P}\p{S}\p{N}sdxz])[ \t\r\f]+|([。！？；，、])"
+#: Signs that are words of their own: kana, Han, and the scripts of South-East Asia.
+SIGNS = r"\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}"
+BLANKS = r" \t\r\f"
+WORD = rf"[{SIGNS}][{BLANKS}]*|[^{SIGNS}{BLANKS}]*[{BLANKS}]+|[^{SIGNS}{BLANKS}]+"
+ENDS = "('0', '1')"
+#: Rows sampled for each range of ids; the sample only balances the ranges.
+PER_RANGE = 40
 
 
-def _sql(pattern: str) -> str:
-    return pattern.replace("\\", "\\\\")
+def _leaves(x: str) -> str:
+    """SQL expression: the leaf hashes of the paragraph ``x``."""
+    words = "regexp_extract_all({}, '{}', 0)".format(x, WORD.replace("\\", "\\\\"))
+    cuts = f"filter(sequence(0, size(w) - 1), i -> i = 0 OR substr(md5(get(w, i - 1)), 1, 1) IN {ENDS})"
+    leaf = "sha2(array_join(slice(w, a + 1, coalesce(get(c, k + 1), size(w)) - a), ''), 256)"
+    return f"transform(array({words}), w -> CASE WHEN size(w) = 0 THEN cast(array() AS array<string>) ELSE transform(array({cuts}), c -> transform(c, (a, k) -> {leaf}))[0] END)[0]"
 
 
-def phrases(text: str) -> str:
-    """SQL expression: the distinct phrase hashes of the text expression."""
-    return f"array_distinct({_codes(text)})"
-
-
-def _codes(text: str) -> str:
-    marked = f"regexp_replace({text}, '{_sql(PHRASE_END)}', '$1$2\\u001f')"
-    return f"transform(filter(split({marked}, '[\\n\\u001f]'), x -> x <> ''), x -> substr(md5(x), 1, 6))"
+def leaf_set(text: str) -> str:
+    """SQL expression: the distinct leaves of the text expression, as serialised."""
+    return f"array_distinct(transform(flatten(transform(split({text}, '\\n'), x -> {_leaves('x')})), y -> substr(y, 1, 6)))"
 
 
 def with_tree(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Add ``{out}`` (the serialised tree) and ``{out}_set`` (its distinct phrase hashes).
+    """Add ``{out}`` (the serialised tree) and ``{out}_set`` (its distinct leaves).
 
     ``text`` names a non-null string column.
     """
     p, h, c, s = (f"__{out}_{x}" for x in "phcs")
     df = df.withColumn(p, F.expr(f"split({text}, '\\n')"))
-    df = df.withColumns({h: F.expr(f"transform({p}, x -> sha2(x, 256))"), c: F.expr(f"transform({p}, x -> {_codes('x')})")})
-    cut = f"i = 0 OR get({p}, i - 1) = '' OR substr(get({h}, i - 1), 1, 1) IN ('0', '1')"
+    df = df.withColumn(c, F.expr(f"transform({p}, x -> {_leaves('x')})"))
+    df = df.withColumn(h, F.expr(f"transform({c}, y -> sha2(concat('paragraph', array_join(y, '')), 256))"))
+    cut = f"i = 0 OR get({p}, i - 1) = '' OR substr(get({h}, i - 1), 1, 1) IN {ENDS}"
     df = df.withColumn(s, F.expr(f"filter(sequence(0, size({p}) - 1), i -> {cut})"))
     part = f"slice({{}}, a + 1, coalesce(get({s}, k + 1), size({p})) - a)"
-    hashes = f"transform({s}, (a, k) -> sha2(array_join({part.format(h)}, ''), 256))"
-    leaves = f"transform({s}, (a, k) -> array_join(transform({part.format(c)}, y -> array_join(y, '')), ';'))"
+    hashes = f"transform({s}, (a, k) -> sha2(concat('section', array_join({part.format(h)}, '')), 256))"
+    shown = f"zip_with({part.format(h)}, {part.format(c)}, (u, y) -> concat(substr(u, 1, 16), '.', array_join(transform(y, z -> substr(z, 1, 6)), '')))"
+    listed = f"array_join(transform({s}, (a, k) -> concat(substr(get(g, k), 1, 16), '=', array_join({shown}, ';'))), '|')"
     df = df.withColumns(
         {
-            out: F.expr(f"concat(sha2(array_join({hashes}, ''), 256), ':', array_join({leaves}, '|'))"),
-            f"{out}_set": F.expr(f"array_distinct(flatten({c}))"),
+            out: F.expr(f"transform(array({hashes}), g -> concat(sha2(array_join(g, ''), 256), ':', {listed}))[0]"),
+            f"{out}_set": F.expr(f"array_distinct(transform(flatten({c}), y -> substr(y, 1, 6)))"),
         }
     )
     return df.drop(p, h, c, s)
 
 
 def likeness(a: str, b: str, same: str) -> str:
-    """SQL expression: Dice coefficient of two phrase-hash sets; 1 where ``same`` holds."""
+    """SQL expression: Dice coefficient of two sets of leaves; 1 where ``same`` holds."""
     total = f"(size({a}) + size({b}))"
     return f"CASE WHEN {same} THEN 1D WHEN {total} = 0 THEN 0D ELSE 2D * size(array_intersect({a}, {b})) / {total} END"
 
 
 def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: its id, the serialised tree and its set of phrase hashes."""
+    """One row per input row: its id, the serialised tree and its set of leaves."""
     docs = df.select(df[doc_id].alias(doc_id), whole_text(df, text).alias("__text"))
     return with_tree(docs, "__text", "fingerprint").drop("__text")
 
 
+def _middle(a: str, b: str) -> str:
+    """SQL expression: struct(lo, na, nb), what is left of two arrays of branches without their common start and end."""
+    least = f"least(size({a}), size({b}))"
+    start = f"coalesce(filter(sequence(0, {least}), i -> i = {least} OR substr(get({a}, i).x, 1, 16) <> substr(get({b}, i).x, 1, 16))[0], 0)"
+    end = f"coalesce(filter(sequence(0, {least} - lo), i -> i = {least} - lo OR substr(get({a}, size({a}) - 1 - i).x, 1, 16) <> substr(get({b}, size({b}) - 1 - i).x, 1, 16))[0], 0)"
+    return f"transform(array({start}), lo -> transform(array({end}), e -> struct(lo AS lo, size({a}) - lo - e AS na, size({b}) - lo - e AS nb))[0])[0]"
+
+
 def differing_paragraphs(a: str, b: str) -> str:
-    """SQL expression over two serialised trees: ``section.paragraph`` positions in ``a`` whose branch ``b`` lacks.
+    """SQL expression over two serialised trees: the ``section.paragraph`` positions in ``a`` where ``b`` differs.
 
-    Descends only where it must: equal roots give an empty list, sections that also
-    occur in ``b`` are skipped as a whole.
+    Equal roots give an empty list.  Else the sections that both have at their start and
+    end are left out by their hashes, then the paragraphs of the rest in the same way.
+    Listed are the paragraphs left in ``a`` that are not among those left in ``b``; all
+    that are left where only their order differs; the one after the gap (or the last)
+    where ``b`` only has more.
     """
-    sections = "split(substring({x}, 66), '\\\\|')"
-    sa, sb = sections.format(x=a), sections.format(x=b)
-    pb = f"flatten(transform({sb}, s -> split(s, ';')))"
-    inner = f"filter(transform(split(s, ';'), (p, j) -> CASE WHEN array_contains({pb}, p) THEN NULL ELSE concat(i, '.', j) END), q -> q IS NOT NULL)"
-    outer = f"flatten(transform({sa}, (s, i) -> CASE WHEN array_contains({sb}, s) THEN cast(array() AS array<string>) ELSE {inner} END))"
-    return f"CASE WHEN substr({a}, 1, 64) = substr({b}, 1, 64) THEN cast(array() AS array<string>) ELSE {outer} END"
+    sections = "transform(split(substring({}, 66), '\\\\|'), (s, n) -> struct(s AS x, cast(n AS string) AS n))"
+    parts = "flatten(transform(slice({s}, m.lo + 1, m.n{w}), s -> transform(split(substring(s.x, 18), ';'), (p, j) -> struct(p AS x, concat(s.n, '.', j) AS n))))"
+    at = "concat(cast(m.lo AS string), '.0')"
+    left = "slice({p}, q.lo + 1, q.n{w})"
+    held = f"transform({left.format(p='pb', w='b')}, y -> substr(y.x, 1, 16))"
+    missing = f"filter({left.format(p='pa', w='a')}, y -> NOT array_contains({held}, substr(y.x, 1, 16)))"
+    gap = f"array(coalesce(get(pa, q.lo).n, get(pa, size(pa) - 1).n, {at}))"
+    picked = f"CASE WHEN q.na = 0 THEN {gap} WHEN size({missing}) > 0 THEN transform({missing}, y -> y.n) ELSE transform({left.format(p='pa', w='a')}, y -> y.n) END"
+    let = lambda value, name, body: f"transform(array({value}), {name} -> {body})[0]"
+    whole = let(sections.format(a), "sa", let(sections.format(b), "sb", let(_middle("sa", "sb"), "m", let(parts.format(s="sa", w="a"), "pa", let(parts.format(s="sb", w="b"), "pb", let(_middle("pa", "pb"), "q", picked))))))
+    return f"CASE WHEN substr({a}, 1, 64) = substr({b}, 1, 64) THEN cast(array() AS array<string>) ELSE {whole} END"
 
 
 def with_next(df: DataFrame, doc_id: str, text: str, out: str) -> DataFrame:
     """Add ``out``: the text of the next row by ascending (doc_id, text hash), after the last that of the first.
 
-    Null ids come first.  Rows move once, by ranges of ids that hold about as many rows
-    each; the first row of a range also visits the range before it, so that no range has
-    to wait for another and no single task sees all rows.
+    Null ids come first.  Rows move once, by ranges of (id, text hash) that hold about as
+    many rows each, so neither many null ids nor one common id make a large range; the
+    first row of a range also visits the range before it, so that no range has to wait
+    for another and no single task sees all rows.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = min(max(2 * parts, 2), 4096)
-    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))
-    steps = ",".join(f"{i / ranges:.6f}D" for i in range(ranges))
-    row = df.select(key.alias("k")).agg(F.expr(f"percentile_approx(k, array({steps}), {20 * ranges})").alias("q"), F.min("k").alias("lo")).first()
-    bounds = sorted({row["lo"], *row["q"]}) if row["lo"] is not None else [0]
-    listed = "array(" + ",".join(f"{b}L" if b > -(2**63) else "(-9223372036854775807L - 1L)" for b in bounds) + ")"
-    df = df.withColumns({"__k": key, "__tie": F.xxhash64(text)})
-    df = df.withColumn("__own", F.expr(f"size(filter({listed}, b -> b <= __k)) - 1"))
-    visits = f"array(struct(__own AS b, 0 AS guest), struct(CASE WHEN __own = 0 THEN {len(bounds) - 1} ELSE __own - 1 END AS b, 1 AS guest))"
-    df = df.withColumn("__at", F.expr(f"explode(CASE WHEN __k = element_at({listed}, __own + 1) THEN {visits} ELSE array(struct(__own AS b, 0 AS guest)) END)"))
-    order = Window.partitionBy("__b").orderBy("__guest", "__k", "__tie")
-    df = df.select("*", F.col("__at.b").alias("__b"), F.col("__at.guest").alias("__guest"))
-    return df.withColumn(out, F.lead(text).over(order)).where("__guest = 0").drop("__k", "__tie", "__own", "__at", "__b", "__guest")
+    kind = df.schema[doc_id].dataType.simpleString()
+    df = df.withColumn("__key", F.struct(F.col(doc_id).isNotNull().alias("known"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("tie")))
+    keys = df.select("__key")
+    size = keys.agg(F.count("*").alias("n"), F.min("__key").alias("lo")).first()
+    share = min(1.0, PER_RANGE * ranges / max(size["n"], 1))
+    found = keys.where(F.pmod(F.xxhash64("__key"), F.lit(1 << 30)) < int(share * (1 << 30))).distinct().collect()  # about PER_RANGE keys a range
+    found = sorted((r[0] for r in found), key=lambda k: (k["known"], k["id"] if k["known"] else 0, k["tie"]))
+    bounds = [size["lo"], *found[PER_RANGE::PER_RANGE]] if size["n"] else []
+    listed = [(i, b["known"], b["id"], b["tie"]) for i, b in enumerate(b for k, b in enumerate(bounds) if k == 0 or b != bounds[0])]
+    table = df.sparkSession.createDataFrame(listed, f"i int, known boolean, id {kind}, tie long").agg(F.expr("transform(array_sort(collect_list(struct(i, known, id, tie))), b -> struct(b.known AS known, b.id AS id, b.tie AS tie))").alias("__bounds"))
+    df = df.join(F.broadcast(table))  # one row of at most 4096 keys
+    df = df.withColumn("__own", F.expr("size(filter(__bounds, b -> b <= __key)) - 1"))
+    visits = f"array(struct(__own AS b, 0 AS guest), struct(CASE WHEN __own = 0 THEN {max(len(listed) - 1, 0)} ELSE __own - 1 END AS b, 1 AS guest))"
+    df = df.withColumn("__at", F.expr(f"explode(CASE WHEN __key = get(__bounds, __own) THEN {visits} ELSE array(struct(__own AS b, 0 AS guest)) END)"))
+    order = Window.partitionBy("__b").orderBy("__guest", "__key")
+    df = df.drop("__bounds").select("*", F.col("__at.b").alias("__b"), F.col("__at.guest").alias("__guest"))
+    return df.withColumn(out, F.lead(text).over(order)).where("__guest = 0").drop("__key", "__own", "__at", "__b", "__guest")
 
 
 def edited_fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -119,7 +152,7 @@ def edited_fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text
     docs = docs.withColumn("n_chars", F.length("__t").cast("long"))
     docs = docs.withColumn("__e", F.expr("concat(substring(__t, 1, cast(n_chars - n_chars div 4 AS int)), substring(__next, 1, cast(n_chars div 4 AS int)))"))
     docs = with_tree(with_tree(docs, "__t", "fingerprint"), "__e", "edited_fingerprint")
-    docs = docs.withColumn("__next_set", F.expr(phrases("__next")))
+    docs = docs.withColumn("__next_set", F.expr(leaf_set("__next")))
     return docs.select(
         "doc_id",
         "n_chars",

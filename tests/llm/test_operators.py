@@ -43,10 +43,47 @@ def test_merkle(spark, corpus):
     t9, t1 = [r["text"] for r in corpus.where("doc_id IN (1, 9)").orderBy(F.desc("doc_id")).collect()]
     assert rows[last]["edited_sha256"] == hashlib.sha256((t9[: len(t9) - len(t9) // 4] + t1[: len(t9) // 4]).encode()).hexdigest()
     assert merkle.edited_fingerprints(corpus.limit(0)).count() == 0
-    pair = merkle.fingerprints(frame(spark, [(1, "a one.\nb two."), (2, "a one.\nc two.")]))
-    a, b = [r["fingerprint"] for r in pair.orderBy("doc_id").collect()]
-    got = spark.createDataFrame([(a, b)], "a string, b string").select(F.expr(merkle.differing_paragraphs("a", "b")).alias("d")).first()["d"]
-    assert len(got) == 1 and got[0].endswith(("1", "0"))
+    by_name = spark.createDataFrame([("b", "two " * 40), (None, "x"), ("a", "one " * 40), (None, "y"), (None, "x")], "doc_id string, text string")
+    got = merkle.edited_fingerprints(by_name).collect()
+    expected = ("one " * 40)[:120] + ("two " * 40)[:40]
+    assert len(got) == 5 and next(r["edited_sha256"] for r in got if r["doc_id"] == "a") == hashlib.sha256(expected.encode()).hexdigest()
+
+
+def differing(spark, a, b):
+    pair = merkle.fingerprints(frame(spark, [(1, a), (2, b)])).orderBy("doc_id").collect()
+    assert pair[0]["fingerprint"][:64] != pair[1]["fingerprint"][:64]
+    return spark.createDataFrame([(pair[0]["fingerprint"], pair[1]["fingerprint"])], "a string, b string").select(F.expr(merkle.differing_paragraphs("a", "b")).alias("d")).first()["d"]
+
+
+def place(paragraphs, i):
+    """section.paragraph of line ``i``, by the rule of the tree."""
+    import re
+
+    section = at = 0
+    for n, line in enumerate(paragraphs):
+        if n and (paragraphs[n - 1] == "" or before in "01"):
+            section, at = section + 1, 0
+        elif n:
+            at += 1
+        if n == i:
+            return f"{section}.{at}"
+        words = re.findall(r"[^ ]* +|[^ ]+", line)
+        cut = [k for k in range(len(words)) if k == 0 or hashlib.md5(words[k - 1].encode()).hexdigest()[0] in "01"]
+        leaves = [hashlib.sha256("".join(words[k:e]).encode()).hexdigest() for k, e in zip(cut, [*cut[1:], len(words)], strict=False)]
+        before = hashlib.sha256(("paragraph" + "".join(leaves)).encode()).hexdigest()[0]
+
+
+def test_merkle_locates_edits(spark):
+    assert differing(spark, "a one. b two", "a one.  b two") == ["0.0"]
+    lines = ["p.", "", "q."]
+    assert differing(spark, "p.\n\nq.", "q.\n\np.") == [place(lines, i) for i in range(3)]
+    lines = [text(i, 12) for i in range(40)]
+    assert differing(spark, "\n".join(lines), "\n".join([*lines[:17], "new", *lines[18:]])) == [place(lines, 17)]
+    assert differing(spark, "\n".join(lines), "\n".join([*lines[:17], "new", *lines[17:]])) == [place(lines, 17)]
+    assert differing(spark, "\n".join(lines), "\n".join(lines[:17] + lines[18:])) == [place(lines, 17)]
+    han = "".join(chr(0x4E00 + i * 7) for i in range(400))
+    got = merkle.edited_fingerprints(frame(spark, [(1, han), (2, "x" * 5000)])).orderBy("doc_id").first()
+    assert 0.5 < got["near_edited"] < 0.95  # an edit of the last quarter, in a script without spaces
 
 
 def rows_len(rows, i):
