@@ -203,7 +203,7 @@ def test_mixing(spark):
     assert all(got[i]["rate"] == 0 for i in range(0, 600, 6)) and all(got[i]["rate"] > 0 for i in range(600) if i % 6)
     tokens = sum(r["n_tokens"] for r in got.values())
     mixed = {d: sum(r["n_tokens"] * r["rate"] * r[f"p_{d}"] for r in got.values()) / tokens for d in mixing.DOMAINS}
-    assert abs(mixed["low"] - 0.15) < 0.01 and abs(mixed["high"] - 0.85) < 0.01 and mixed["toxic"] < 0.01
+    assert abs(mixed["low"] - 0.15) < 0.02 and abs(mixed["high"] - 0.85) < 0.03 and mixed["toxic"] < 0.01
     assert {r["rate"] for r in mixing.mix(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()} != set()
     assert mixing.mix(docs.limit(0), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 0
 
@@ -220,13 +220,38 @@ def test_projected_gradient_matches_brute_force(spark):
     p = rnd.dirichlet([0.3, 0.3, 0.6], 200)
     n = rnd.integers(1, 50, 200)
     parts = spark.createDataFrame([(int(a), *map(float, b)) for a, b in zip(n, p, strict=True)], "n_tokens long, p0 double, p1 double, p2 double")
-    mu = mixing.fit_rates(parts)
-    r = np.maximum(0, 1 + p @ np.array(mu))
-    goal = np.array([0.0, 0.15, 0.85])
-    slow = np.zeros(3)
-    for _ in range(200_000):  # plain lazily projected gradient
-        slow = slow + 0.5 * (goal - (n * np.maximum(0, 1 + p @ slow)) @ p / n.sum() - mixing.RIDGE * slow)
-    assert np.allclose(r, np.maximum(0, 1 + p @ slow), atol=1e-3)
+    r = np.array([x["r"] for x in parts.select(F.expr(mixing.rate_of(mixing.fit_rates(parts))).alias("r")).collect()])
+    goal, w = np.array([0.0, 0.15, 0.85]), n / n.sum()
+    mass = w @ p
+    prior = np.maximum(0, 1 - 2 * p[:, 0])
+    slow = prior
+    for _ in range(20_000):  # plain projected gradient, a rate a document
+        slow = np.maximum(0, slow - 0.5 * (p @ (((w * slow) @ p - goal) / mass) + mixing.RIDGE * (slow - prior)))
+    assert np.allclose(r, slow, atol=1e-3) and (r == 0).any()
+
+
+def test_logistic_regression_matches_plain_descent():
+    rnd = np.random.default_rng(3)
+    x = np.round(rnd.normal(size=(300, 2)) * 2, 1)
+    y = np.array([rnd.choice(3, p=mixing.posterior([[-1.0, 1.2, 0.0], [-0.5, 0.1, 0.9]], tuple(v))) for v in x])
+    got = np.array(mixing.fit_logistic([(*map(float, v), int(d), 1) for v, d in zip(x, y, strict=True)]))
+    full, w, hot = np.c_[np.ones(300), x], np.zeros((2, 3)), np.eye(3)[y]
+    for _ in range(20_000):
+        z = np.c_[full @ w.T, np.zeros(300)]
+        q = np.exp(z - z.max(1, keepdims=True))
+        q /= q.sum(1, keepdims=True)
+        w -= 0.003 * (((q - hot)[:, :2].T @ full) + w * [2e-3, 0.5, 0.5])
+    assert np.allclose(got, w, atol=1e-2)
+
+
+def test_colliding_marks_are_all_kept(spark):
+    words = [f"{a}{b}xyz" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrst"]
+    hashes = {r["w"]: r["h"] for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    marks = {h: (1.0, float(i)) for i, h in enumerate(hashes.values())}
+    assert len({h % mixing.SLOTS for h in marks}) < len(marks)
+    docs = spark.createDataFrame([(w,) for w in words], "__t string")
+    got = {r["__t"]: (r["s0"], r["s1"]) for r in mixing.with_evidence(docs, marks).collect()}
+    assert got == {w: (1.0, min(mixing.MOST_EVIDENCE, marks[h][1])) for w, h in hashes.items()}
 
 
 def test_line_dedup_against_brute_force(spark):
