@@ -2,15 +2,21 @@
 
 A window is ``length`` consecutive words of a benchmark item (an item of fewer words is
 one window).  Every document word inside an occurrence of a window is hit.  Both sides
-hash all k-grams of words and keep the smallest hash of every ``length - k + 1``
-consecutive ones, so any shared span of ``length`` words shares a kept fingerprint.
-Documents that share one are candidates; there hits are extended and settled on the
-words themselves, so hash collisions never reach the result.  Items shorter than
-``length`` lie outside that guarantee and are looked up by their own word counts.
+hash all k-grams of words and keep, with their positions, the smallest of every
+``length - k + 1`` consecutive ones, so any shared span of ``length`` words shares a kept
+fingerprint.  A joined fingerprint puts the item beside the document at one offset; there
+the hit is extended: words are compared one by one, and runs of ``length`` equal words or
+more are hit, so hash collisions never reach the result.  Items shorter than ``length``
+lie outside winnowing's guarantee; they are looked up by the hash of all their words, in
+the same pass, and compared in the same way.
+
+Items with equal words are compared once.  Only documents with a joined fingerprint are
+read a second time.
 
 Edge cases: null and wordless texts have no words; a wordless item has no window; items
 with equal windows all count; repeated rows get equal results; an empty table on either
-side gives rows without hits or no rows.
+side gives rows without hits or no rows; very long texts are one row each; extra columns
+of either table are not read.
 """
 
 from __future__ import annotations
@@ -20,11 +26,11 @@ import string
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import checkpointed, row_key, whole_text
+from quillgraph.llm.common import checkpointed, dropped, row_key, split_join, whole_text
 
 K, LENGTH = 5, 10
-#: Rows of a side that may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
+#: Rows, and bytes of their lists, of a side that may be broadcast; beyond either the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -33,22 +39,42 @@ def words(text: str) -> str:
     return f"regexp_extract_all(translate({text}, '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '{pattern}', 0)"
 
 
+def _gram(w: str, n: int) -> str:
+    return f"xxhash64({n}, {', '.join(f'get({w}, i + {j})' for j in range(n))})"
+
+
+_NONE = "cast(array() AS array<struct<f: bigint, at: int>>)"
+
+
 def with_winnowed(df: DataFrame, w: str, out: str, k: int = K, length: int = LENGTH) -> DataFrame:
-    """Add the distinct winnowed fingerprints of the word array ``w``; empty below ``length`` words."""
-    gram = ", ".join(f"get({w}, i + {j})" for j in range(k))
-    df = df.withColumn("__h", F.expr(f"CASE WHEN size({w}) >= {length} THEN transform(sequence(0, size({w}) - {k}), i -> xxhash64({gram})) ELSE array() END"))
-    least = ", ".join(f"get(__h, i + {j})" for j in range(length - k + 1))
-    least = f"least({least})" if length > k else least
-    return df.withColumn(out, F.expr(f"CASE WHEN size(__h) > 0 THEN array_distinct(transform(sequence(0, size(__h) - {length - k + 1}), i -> {least})) ELSE array() END")).drop("__h")
+    """Add the winnowed fingerprints (f, at) of the word array ``w``; empty below ``length`` words.
+
+    A k-gram is kept where it is the smallest of some window, ties included.
+    """
+    width = length - k + 1
+    df = df.withColumn("__h", F.expr(f"CASE WHEN size({w}) >= {length} THEN transform(sequence(0, size({w}) - {k}), i -> {_gram(w, k)}) ELSE cast(array() AS array<bigint>) END"))
+    least = ", ".join(f"get(__h, i + {j})" for j in range(width))
+    least = f"least({least})" if width > 1 else least
+    df = df.withColumn("__least", F.expr(f"CASE WHEN size(__h) > 0 THEN transform(sequence(0, size(__h) - {width}), i -> {least}) END"))
+    kept = " OR ".join(f"get(__h, i) = get(__least, i - {j})" for j in range(width))
+    df = df.withColumn(out, F.expr(f"CASE WHEN size(__h) > 0 THEN transform(filter(sequence(0, size(__h) - 1), i -> {kept}), i -> struct(get(__h, i) AS f, i AS at)) ELSE {_NONE} END"))
+    return df.drop("__h", "__least")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast where its checked size allows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, lists: str | None = None) -> DataFrame:
+    """``df`` (checkpointed) marked for broadcast where its checked rows and bytes allow; ``lists`` is the bytes of a row as SQL."""
+    size = df.agg(F.count("*").alias("n"), F.expr(f"sum({lists or 64})").alias("bytes")).first()
+    return F.broadcast(df) if size["n"] <= BROADCAST_ROWS and (size["bytes"] or 0) <= BROADCAST_BYTES else df
 
 
-def _grams(w: str, n: str) -> str:
-    return f"transform(sequence(0, size({w}) - {n}), i -> array_join(slice({w}, i + 1, {n}), ' '))"
+def _joined(found: DataFrame, marks: DataFrame) -> DataFrame:
+    """``found`` (__k, f, at) with the marks of equal f; a very common fingerprint is not gathered in one task."""
+    small = _small(marks)
+    if small is not marks:
+        return found.join(small, "f")
+    counted = found.groupBy("f").agg(F.count("*").alias("n")).join(marks.select("f").distinct(), "f")
+    lists = checkpointed(counted.join(marks.groupBy("f").agg(F.collect_list(F.struct("c", "i")).alias("marks")), "f"))
+    return split_join(found, lists, ["f"]).select("__k", "f", "at", F.explode_outer("marks").alias("m")).select("__k", "f", "at", "m.*")
 
 
 def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", k: int = K, length: int = LENGTH) -> DataFrame:
@@ -56,31 +82,29 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", ite
     docs = docs.select(docs[doc_id].alias("__id"), whole_text(docs, text).alias("__t"))
     docs = docs.withColumn("__k", row_key(F.col("__id"), F.col("__t"))).withColumn("__w", F.expr(words("__t"))).drop("__t")
     items = items.select(items[item_id].cast("string").alias("item"), F.expr(words("coalesce(cast(" + text + " AS string), '')")).alias("iw")).where("size(iw) > 0")
-    items = checkpointed(items)
-    windows = items.withColumn("n", F.least(F.size("iw"), F.lit(length)))
-    windows = windows.select("item", "n", F.explode_outer(F.expr(_grams("iw", "n"))).alias("window")).groupBy("n", "window").agg(F.collect_set("item").alias("item_list"))
-    windows = checkpointed(windows)
-    short = sorted(r["n"] for r in windows.where(F.col("n") < length).select("n").distinct().collect())  # fewer than `length` numbers
-    # Candidates: a shared winnowed fingerprint, or a shared short item.
-    marks = with_winnowed(items, "iw", "f", k, length).select(F.explode_outer("f").alias("f")).where("f IS NOT NULL").distinct()
-    candidates = with_winnowed(docs, "__w", "f", k, length).select("__k", F.explode_outer("f").alias("f")).join(_small(checkpointed(marks)), "f", "left_semi").select("__k")
-    for n in short:
-        gram = f"CASE WHEN size(__w) >= {n} THEN {_grams('__w', str(n))} ELSE cast(array() AS array<string>) END"
-        brief = windows.where(F.col("n") == n).select("window")
-        candidates = candidates.union(docs.select("__k", F.explode_outer(F.expr(gram)).alias("window")).join(_small(brief), "window", "left_semi").select("__k"))
-    candidates = checkpointed(candidates.distinct())
-    # Extension: all windows of the candidates against all windows of the items.
-    near = docs.join(_small(candidates), "__k", "left_semi").dropDuplicates(["__k"])
-    spans = None
-    for n in [*short, length]:
-        gram = f"CASE WHEN size(__w) >= {n} THEN {_grams('__w', str(n))} ELSE cast(array() AS array<string>) END"
-        own = near.select("__k", F.posexplode_outer(F.expr(gram)).alias("at", "window"))
-        hit = own.join(_small(windows.where(F.col("n") == n).drop("n")), "window").select("__k", "at", F.lit(n).alias("n"), "item_list")
-        spans = hit if spans is None else spans.union(hit)
-    found = spans.groupBy("__k").agg(
-        F.sort_array(F.collect_set(F.struct("at", "n"))).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("item_list")))).alias("items")
-    )
-    covered = "aggregate(spans, named_struct('e', 0, 'n', 0L), (a, s) -> named_struct('e', greatest(a.e, s.at + s.n), 'n', a.n + greatest(0, s.at + s.n - greatest(s.at, a.e))), a -> a.n)"
-    found = found.select("__k", F.expr(covered).alias("n_hit"), "items")
-    out = docs.select("__id", "__k", F.size("__w").cast("long").alias("n_words")).join(found, "__k", "left")
+    items = checkpointed(items.withColumn("c", F.expr("sha2(array_join(iw, ' '), 256)")))
+    classes = checkpointed(items.groupBy("c").agg(F.first("iw").alias("iw")))
+    short = sorted(r["n"] for r in classes.select(F.size("iw").alias("n")).where(F.col("n") < length).distinct().collect())  # fewer than `length` numbers
+    whole = "".join(f" WHEN size(iw) = {n} THEN transform(array(0), i -> struct({_gram('iw', n)} AS f, i AS at))" for n in short)
+    marks = with_winnowed(classes, "iw", "kept", k, length).withColumn("kept", F.expr(f"CASE WHEN size(iw) >= {length} THEN kept{whole} END"))
+    marks = checkpointed(marks.select("c", F.explode_outer("kept").alias("m")).select("m.f", F.col("m.at").alias("i"), "c"))
+    # First pass: fingerprints of every document, and the hashes of all runs as long as a short item.
+    seen = with_winnowed(docs, "__w", "kept", k, length)
+    brief = "".join(f", CASE WHEN size(__w) >= {n} THEN transform(sequence(0, size(__w) - {n}), i -> struct({_gram('__w', n)} AS f, i AS at)) ELSE {_NONE} END" for n in short)
+    seen = seen.select("__k", F.explode_outer(F.expr(f"concat(kept{brief})")).alias("m")).select("__k", "m.f", "m.at").where("f IS NOT NULL")
+    hits = _joined(seen, marks).groupBy("__k", "c").agg(F.collect_set(F.expr("at - i")).alias("offsets"))
+    hits = checkpointed(hits.join(classes, "c").groupBy("__k").agg(F.collect_list(F.struct("c", "offsets", "iw")).alias("beside")))
+    # Extension, in the documents at hand: the runs of equal words along each offset.
+    equal = "j < size(g.iw) AND get(__w, d + j) = get(g.iw, j)"
+    longer = f"CASE WHEN j - a.s >= least({length}, size(g.iw)) THEN concat(a.o, array(struct(d + a.s AS at, j - a.s AS n))) ELSE a.o END"
+    empty = "cast(array() AS array<struct<at: int, n: int>>)"
+    runs = f"aggregate(sequence(0, size(g.iw)), named_struct('s', 0, 'o', {empty}), (a, j) -> CASE WHEN {equal} THEN a ELSE named_struct('s', j + 1, 'o', {longer}) END, a -> a.o)"
+    near = docs.join(_small(hits, "aggregate(beside, 64L, (a, g) -> a + 96 + 8 * size(g.offsets) + 24 * size(g.iw))"), "__k").dropDuplicates(["__k"])
+    near = near.select("__k", F.expr(f"filter(transform(beside, g -> struct(g.c AS c, flatten(transform(g.offsets, d -> {runs})) AS spans)), g -> size(g.spans) > 0)").alias("hit")).where("size(hit) > 0")
+    near = checkpointed(near)
+    covered = "aggregate(array_sort(array_distinct(flatten(transform(hit, g -> g.spans)))), named_struct('e', 0, 'n', 0L), (a, s) -> named_struct('e', greatest(a.e, s.at + s.n), 'n', a.n + greatest(0, s.at + s.n - greatest(s.at, a.e))), a -> a.n)"
+    named = near.select("__k", F.explode_outer("hit.c").alias("c")).join(items.select("c", "item"), "c").groupBy("__k").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    found = checkpointed(near.select("__k", F.expr(covered).alias("n_hit")).join(named, "__k"))
+    dropped(hits, near, marks, classes)
+    out = docs.select("__id", "__k", F.size("__w").cast("long").alias("n_words")).join(_small(found, "96 + 48 * size(items)"), "__k", "left")
     return out.select(F.col("__id").alias(doc_id), "__k", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.expr("coalesce(items, cast(array() AS array<string>))").alias("items"))
