@@ -9,7 +9,9 @@ the rule's expression.  Rules without mandatory trigrams scan all texts.
 Spans are code points, end exclusive; matches of a kind are leftmost and do not overlap,
 and a match that fails its length test is consumed and dropped.
 
-Edge cases: null is the empty text; repeated rows get equal results; rules may overlap.
+Edge cases: null is the empty text; repeated rows get equal results; rules may overlap;
+an empty table gives an empty result; the spans of a very long text with many matches
+cost linear time; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from re import _parser
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import row_key, whole_text
+from quillgraph.llm.common import checkpointed, row_key, whole_text
 
 
 @dataclass(frozen=True)
@@ -49,6 +51,7 @@ ADDED_RULES = (
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 20),
 )
 RULES = BASE_RULES + ADDED_RULES
+BROADCAST_BYTES = 16 << 20
 MOST = 64  # strings or clauses that a derivation may hold before it is weakened
 
 Clauses = frozenset[frozenset[str]]
@@ -144,16 +147,29 @@ def candidates(docs: DataFrame, queries: dict[str, Clauses]) -> DataFrame:
     return met.groupBy("__k").agg(F.collect_set("rule").alias("rules"))
 
 
+def _before(d: str) -> str:
+    """SQL expression: for each item of the array the sum of those before it; in blocks, so that long arrays cost linear time."""
+    run = "aggregate({x}, named_struct('t', {t}, 'o', cast(array() AS array<int>)), (a, y) -> named_struct('t', a.t + y, 'o', concat(a.o, array(a.t))), a -> a.o)"
+    blocks = f"transform(sequence(0, (size({d}) - 1) div 256), b -> slice({d}, b * 256 + 1, 256))"
+    sums = "transform(bs, b -> aggregate(b, 0, (a, y) -> a + y))"
+    inner = run.format(x="b", t="get(base, i)")
+    return f"transform(array({blocks}), bs -> transform(array({run.format(x=sums, t='0')}), base -> flatten(transform(bs, (b, i) -> {inner})))[0])[0]"
+
+
+NONE = "cast(array() AS array<struct<start: int, ord: int, end: int, kind: string>>)"
+
+
 def _spans(rule: Rule, order: int) -> str:
-    """SQL expression: the rule's spans in ``__t`` as structs (start, order, end, kind)."""
+    """SQL expression: the rule's spans in ``__t`` as structs (start, order, end, kind), from the lengths of the matches and of what lies between."""
     r = _literal(rule.regex)
-    zipped = f"arrays_zip(transform(split(__t, {r}, -1), x -> length(x)) AS g, transform(regexp_extract_all(__t, {r}, 0), x -> length(x)) AS m, transform(regexp_extract_all(__t, {r}, {rule.group}), x -> length(x)) AS v)"
-    zipped = zipped.replace(" AS g", "").replace(" AS m", "").replace(" AS v", "")
-    step = (
-        "named_struct('at', a.at + z['0'] + coalesce(z['1'], 0), 'out', CASE WHEN z['2'] >= {n} THEN concat(a.out, array(named_struct('start', a.at + z['0'], 'ord', {o}, 'end', a.at + z['0'] + z['1'], 'kind', '{k}'))) ELSE a.out END)"
-    ).format(n=rule.least, o=order, k=rule.kind)
-    none = "cast(array() AS array<struct<start: int, ord: int, end: int, kind: string>>)"
-    return f"CASE WHEN __t RLIKE {r} THEN aggregate({zipped}, named_struct('at', 0, 'out', {none}), (a, z) -> {step}, a -> a.out) ELSE {none} END"
+    match = f"transform(regexp_extract_all(__t, {r}, 0), x -> length(x))"
+    own = f"transform(regexp_extract_all(__t, {r}, {rule.group}), x -> length(x))" if rule.group else "m"
+    gap = f"transform(split(__t, {r}, -1), x -> length(x))"
+    made = f"filter(zip_with(zip_with(g, b, (x, y) -> x + y), zip_with(m, v, (x, y) -> struct(x AS m, y AS v)), (s, z) -> struct(s AS s, z.m AS m, z.v AS v)), z -> z.v >= {rule.least})"
+    shown = f"transform({made}, z -> struct(z.s AS start, {order} AS ord, z.s + z.m AS end, '{rule.kind}' AS kind))"
+    let = lambda value, name, body: f"transform(array({value}), {name} -> {body})[0]"
+    spans = let(match, "m", let(own, "v", let(gap, "g", let(_before("zip_with(slice(g, 1, size(m)), m, (x, y) -> x + y)"), "b", shown))))
+    return f"CASE WHEN __t RLIKE {r} THEN {spans} ELSE {NONE} END"
 
 
 def find_secrets(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -162,9 +178,14 @@ def find_secrets(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rule
     docs = docs.withColumn("__k", row_key(F.col("__id"), F.col("__t")))
     queries = {r.kind: trigram_query(r.regex) for r in rules}
     indexed = {k: q for k, q in queries.items() if frozenset() not in q}
-    docs = docs.join(candidates(docs, indexed), "__k", "left") if indexed else docs.withColumn("rules", F.lit(None).cast("array<string>"))
-    none = "cast(array() AS array<struct<start: int, ord: int, end: int, kind: string>>)"
-    per_rule = [f"CASE WHEN array_contains(rules, '{r.kind}') THEN {_spans(r, i)} ELSE {none} END" if r.kind in indexed else _spans(r, i) for i, r in enumerate(rules)]
+    if indexed:
+        # Texts stay where they are if the list of candidates, checked by its bytes, may be broadcast.
+        found = checkpointed(candidates(docs, indexed))
+        size = found.agg(F.expr("sum(48 + 24 * size(rules))").alias("bytes")).first()["bytes"] or 0
+        docs = docs.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "__k", "left")
+    else:
+        docs = docs.withColumn("rules", F.lit(None).cast("array<string>"))
+    per_rule = [f"CASE WHEN array_contains(rules, '{r.kind}') THEN {_spans(r, i)} ELSE {NONE} END" if r.kind in indexed else _spans(r, i) for i, r in enumerate(rules)]
     return docs.select(F.col("__id").alias(doc_id), "__k", F.expr(f"array_sort(concat({', '.join(per_rule)}))").alias("found"))
 
 
