@@ -13,7 +13,9 @@ chosen by a hash of the id.  Predictions see whole texts only.
 Edge cases: null text or a text without letters is ``und`` with score 0; so is every text
 where nothing could be learned.  A text none of whose n-grams occurs in any profile is
 equally far from all languages: with ``nearest`` it gets the first by name, else ``und``.
-Rows with null id are predicted, never learned from; repeated rows get equal results.
+Rows with null id are predicted, never learned from; repeated rows get equal results; an
+empty table gives an empty result; extra columns pass through unless they are called as
+the results.
 """
 
 from __future__ import annotations
@@ -45,15 +47,26 @@ def _letters(codes: np.ndarray) -> np.ndarray:
 
 
 def _counts(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted n-gram codes and how often each occurs."""
+    """Sorted n-gram codes and how often each occurs.
+
+    A very long text is read in segments; each counts the n-grams that end in it, with the
+    last two characters of the segment before, so seams change no count.
+    """
     found, number = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for at in range(0, len(text), CHUNK):
-        piece = text[max(0, at - 2) : at + CHUNK] if at else text[:CHUNK]
-        c = np.frombuffer((" " + piece.lower() + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
-        c = np.where(_letters(c), c, 32).astype(np.int64)
+    low = text.lower()
+    before = np.array([32], np.int64)  # the last characters that n-grams may begin with
+    for at in range(0, len(low), CHUNK):
+        c = np.frombuffer(low[at : at + CHUNK].encode("utf-32-le", "surrogatepass"), np.uint32)
+        if at + CHUNK >= len(low):
+            c = np.append(c, np.uint32(32))
+        c = np.append(before, np.where(_letters(c), c, 32).astype(np.int64))
         c = c[np.append(True, (c[1:] != 32) | (c[:-1] != 32))]
+        old = before.size
+        one = c[old:]
         two = (c[:-1] << _BITS) | c[1:]
-        grams = np.sort(np.concatenate([c[c != 32], two, (two[:-1] << _BITS) | c[2:]]))
+        three = (two[:-1] << _BITS) | c[2:]
+        grams = np.sort(np.concatenate([one[one != 32], two[old - 1 :], three[max(0, old - 2) :]]))
+        before = c[-2:]
         if grams.size:
             first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
             own, n = grams[first], np.diff(np.append(first, grams.size))

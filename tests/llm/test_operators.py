@@ -353,7 +353,7 @@ def test_html(spark):
     assert wrong <= 0.02 * total
     deep = "<div class=a>" * 20_000 + "<p>" + "Long words here. " * 200_000 + "</div>" * 20_000
     assert html_crf.blocks(deep)[0][0].startswith("Long words") and len(html_crf.blocks(deep)) == 1
-    assert html_crf.extract("<article><p>See <math><mi>x</mi><mo>=</mo><mn>2</mn></math> there.</article>", field) == "See x=2 there."
+    assert [b[0] for b in html_crf.blocks("<article><p>See <math><mi>x</mi><mo>=</mo><mn>2</mn></math> there.</article>")] == ["See x=2 there."]
     page = "<nav><ul><li><a href=x>Menu</a></ul></nav><article><h1>T &amp; x</h1><p>One  two\nthree, four five six.<br>seven<p>Eight nine ten eleven.</article><div class=comments><p>Nice read</p></div><footer>&copy; me</footer>"
     df = spark.createDataFrame([(1, "u", page), (2, "u", None)], "page_id long, url string, html string")
     assert {r["page_id"]: r["text"] for r in html_crf.main_text(df).collect()} == {1: "T & x\nOne two three, four five six. seven\nEight nine ten eleven.", 2: ""}
@@ -376,3 +376,84 @@ def test_warc_round_trip(spark, tmp_path):
     assert back.where("record_type = 'revisit'").count() == 2
     assert [bytes(r["payload"]).decode() for r in back.where("record_type = 'response' AND target_uri LIKE 'http://b%'").collect()] == ["<p>é</p>"]
     assert warc.round_trip(df.limit(0)).count() == 0
+    skipped = warc.read_warc(spark, path, "skip").where("record_type = 'response'").collect()
+    assert sorted(r["payload_bytes"] for r in skipped) == [0, 1, 9, 13] and {r["payload"] for r in skipped} == {None}
+    assert back.where("record_type = 'warcinfo'").count() == 1
+
+
+def test_warc_ids_and_cut_files(spark, tmp_path):
+    odd = spark.createDataFrame([("a>\r\n: é/", "u", "x"), ("", "u", "y"), (None, "u", "z"), ("~", "u", "w"), ("~", "u", "w"), ("~", "v", "other")], "page_id string, url string, html string")
+    assert sorted((r["page_id"] or "") + r["record_type"] for r in warc.round_trip(odd).collect()) == sorted(["a>\r\n: é/response", "response", "response"] + ["~response"] * 3)
+    import io
+
+    class Counting(io.BytesIO):
+        read_bytes = 0
+
+        def read(self, n=-1):
+            got = super().read(n)
+            Counting.read_bytes += len(got)
+            return got
+
+    record = lambda body: b"WARC/1.1\r\nContent-Type: application/http\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(body), body)
+    data = record(b"HTTP/1.1 200 OK\r\n\r\n" + b"x" * 100_000) + record(b"HTTP/1.1 200 OK\r\n\r\n" + b"y" * 100_000)[:-50_000]
+    assert len(list(warc.records(Counting(data), whole=False))) == 1 and Counting.read_bytes == 0
+    assert [len(b) for _, b in warc.records(io.BytesIO(data))] == [100_019]
+
+
+def test_language_seams(monkeypatch):
+    long = "Abc déf  12 gh\nΣΑΣ x" * 50
+    whole = language._counts(long)
+    for size in (1, 2, 3, 7, 100):
+        monkeypatch.setattr(language, "CHUNK", size)
+        assert all((a == b).all() for a, b in zip(whole, language._counts(long), strict=True))
+
+
+def test_language_distance_matches_plain_sums():
+    rnd = random.Random(9)
+    ranked = {name: rnd.sample(range(1, 400), 50) for name in ("aa", "bb", "cc")}
+    profiles = language.Profiles(ranked, 50)
+    for seed in range(30):
+        t = text(seed, 20 + seed)
+        own = language.profile(t, 50).tolist()
+        off = {n: sum(abs(i - p.index(c)) if c in p else 50 for i, c in enumerate(own)) for n, p in ranked.items()}
+        assert profiles.predict(t, nearest=True)[0] == min(off, key=lambda n: (off[n], n))
+
+
+def test_factors_match_plain_comparison():
+    rnd = random.Random(11)
+    for length in (4, 12, 40):
+        raw = np.frombuffer(bytes(rnd.choice(b"ab") for _ in range(300)) + b"ab" * 60, np.uint8)
+        starts = np.arange(raw.size - length + 1)
+        before, after = suffix_dedup.factors(raw, starts, length)
+        data = raw.tobytes()
+
+        def common(i, j, data=data, length=length):
+            n = 0
+            while n < length and data[i + n] == data[j + n]:
+                n += 1
+            return n
+
+        for i in range(0, starts.size, 7):
+            assert before[i] == max((common(i, j) for j in range(i)), default=0)
+            assert after[i] == max((common(i, j) for j in range(i + 1, starts.size)), default=0)
+
+
+def test_shared_words(spark):
+    shared = text(900, 60)
+    rows = [(1, text(901, 80) + " " + shared + "\n" + text(902, 30)), (2, shared.replace(" ", "\n")), (3, text(903, 200)), (4, " ".join(shared.split()[:50]) + " end"), (5, ("word " * 200).strip()), (6, None)]
+    got = {r["doc_id"]: r["n_shared_words"] for r in suffix_dedup.dedup_repeats(frame(spark, rows)).collect()}
+    assert got == {1: 60, 2: 60, 3: 0, 4: 0, 5: 0, 6: 0}
+    assert suffix_dedup.dedup_repeats(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_no_broadcast_gives_the_same(spark, monkeypatch):
+    item = [f"w{i}" for i in range(40)]
+    items = spark.createDataFrame([(i, " ".join(item[i : i + 12])) for i in range(20)], "item_id long, text string")
+    rows = [(i, text(i, 20) + " " + " ".join(item[i : i + 15]) + " " + text(i + 50, 5)) for i in range(15)] * 2
+    run = lambda: sorted((r["doc_id"], r["n_hit"], tuple(r["items"])) for r in decontaminate.contamination(frame(spark, rows), items).collect())
+    small = run()
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    from quillgraph.llm import common
+
+    monkeypatch.setattr(common, "OFTEN", 3)
+    assert run() == small and small[0][1] == 15
