@@ -17,7 +17,9 @@ never the pairs.  Classes are the connected components, found by min-label propa
 with pointer jumping on the distributed edge table.
 
 Edge cases: null is the empty text; all wordless texts form one class; repeated rows
-belong to one class; the class id is the smallest doc_id in it (null ids last).
+belong to one class; the class id is the smallest doc_id in it (null ids last); an empty
+table gives an empty result; very long texts are hashed in segments and aligned whole;
+extra columns are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import checkpointed, row_key, small_batches, whole_text
+from quillgraph.llm.common import BROADCAST_KEYS, OFTEN, checkpointed, dropped, row_key, small_batches, split_join, whole_text
 
 SHINGLE, SIMILARITY, ROWS, BANDS = 5, 0.8, 3, 20
 #: Buckets up to this many members (and bytes of text) are one block; it sets the size of a piece of work, not the result.
@@ -230,8 +232,8 @@ def _links(reps: DataFrame, texts: DataFrame, shingle: int, least: float, block:
     sets = buckets.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("band").alias("band"), F.expr("bit_xor(xxhash64(rep, 1))").alias("s1"), F.expr("bit_xor(xxhash64(rep, 2))").alias("s2")).where("n > 1")
     # Buckets of equal members offer equal pairs; the lowest band has them all.
     sets = sets.groupBy("n", "s1", "s2").agg(F.min(F.struct("band", "key", "size")).alias("f"))
-    sets = sets.select(F.col("f.key").alias("key"), F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("f.size") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    members = buckets.select("rep", "band", "key").join(sets, "key").withColumn("own", F.expr("CAST(pmod(xxhash64(rep, key), blocks) AS INT)"))
+    sets = checkpointed(sets.select(F.col("f.key").alias("key"), "n", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("f.size") / BLOCK_BYTES)).cast("int").alias("blocks")))
+    members = split_join(buckets.select("rep", "band", "key"), sets, ["key"]).withColumn("own", F.expr("CAST(pmod(xxhash64(rep, key), blocks) AS INT)"))
     members = members.withColumn("other", F.explode_outer(F.expr("sequence(0, blocks - 1)")))
     members = checkpointed(members.select("rep", "band", "key", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
     wanted = members.select(F.col("rep").alias("__k")).distinct()
@@ -261,21 +263,38 @@ def _links(reps: DataFrame, texts: DataFrame, shingle: int, least: float, block:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(k, label): the smallest member of the component, for every end of an edge (a, b)."""
+    """(k, label): the smallest member of the component, for every end of an edge (a, b).
+
+    Edges to hubs meet the hub's label by broadcast (there are at most BROADCAST_KEYS
+    hubs), so no task gathers a hub's edges.
+    """
     both = checkpointed(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = both.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m")).select("k", F.least("k", "m").alias("label"))
+    degree = both.groupBy("b").agg(F.count("*").alias("n"))
+    hubs = checkpointed(degree.where(F.col("n") > max(OFTEN, both.count() / BROADCAST_KEYS)).select("b"))
+    some = not hubs.isEmpty()
+    plain = both.join(F.broadcast(hubs), "b", "left_anti") if some else both
+    hub = both.join(F.broadcast(hubs), "b", "left_semi") if some else None
+    labels = checkpointed(both.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m")).select("k", F.least("k", "m").alias("label")))
     rounds = 0
     while True:
-        labels, rounds = checkpointed(labels), rounds + 1
+        rounds += 1
+        old = labels
         if rounds > 3:  # long chains: jump to the label of the label
-            up = labels.select(F.col("k").alias("label"), F.col("label").alias("up"))
-            labels = labels.join(up, "label").select("k", F.least("label", "up").alias("label"))
-        told = both.join(labels.select(F.col("k").alias("b"), "label"), "b").select(F.col("a").alias("k"), "label", F.lit(None).cast("long").alias("own"))
+            info = labels.groupBy("label").agg(F.count("*").alias("n")).join(labels.select(F.col("k").alias("label"), F.col("label").alias("up")), "label")
+            labels = checkpointed(split_join(labels, checkpointed(info), ["label"]).select("k", F.least("label", "up").alias("label")))
+            dropped(old)
+        named = labels.select(F.col("k").alias("b"), "label")
+        told = plain.join(named, "b").select(F.col("a").alias("k"), "label", F.lit(None).cast("long").alias("own"))
+        if some:
+            told = told.union(hub.join(F.broadcast(named.join(F.broadcast(hubs), "b")), "b").select(F.col("a").alias("k"), "label", F.lit(None).cast("long").alias("own")))
         told = told.union(labels.select("k", "label", F.col("label").alias("own")))
         new = checkpointed(told.groupBy("k").agg(F.min("label").alias("label"), F.max("own").alias("own")))
+        dropped(labels)
         if new.where("label <> own").isEmpty():
+            dropped(both, hubs)
             return new.select("k", "label")
-        labels = new.select("k", "label")
+        labels = checkpointed(new.select("k", "label"))
+        dropped(new)
 
 
 def near_duplicates(
@@ -286,17 +305,19 @@ def near_duplicates(
     docs = df.select(df[doc_id].alias("__id"), whole_text(df, text).alias("__t"))
     docs = docs.withColumn("__k", row_key(F.col("__id"), F.col("__t")))
     sketched = checkpointed(_sketched(docs, shingle, rows, bands))
-    firsts = checkpointed(sketched.groupBy("d1", "d2").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__k")).alias("f")).select("d1", "d2", F.col("f.__k").alias("rep")))
-    reps = sketched.join(firsts, ["d1", "d2"]).where("__k = rep").dropDuplicates(["rep"])
+    firsts = sketched.groupBy("d1", "d2").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__k")).alias("f"), F.count("*").alias("n"))
+    firsts = checkpointed(firsts.select("d1", "d2", F.col("f.__k").alias("rep"), "n"))
+    reps = sketched.join(firsts.select("d1", "d2", F.col("rep").alias("__k")), ["d1", "d2", "__k"]).withColumnRenamed("__k", "rep").dropDuplicates(["rep"])
     found = _links(reps.select("rep", "keys", "size"), docs.select("__k", "__t"), shingle, least, small_bucket)
     # A member is joined once for each piece it was in: it keeps its smallest, to which its others are joined.
     stars = checkpointed(found.where("a <> b").groupBy("a").agg(F.min("b").alias("m"), F.collect_set("b").alias("all")))
     others = stars.where("size(all) > 1").select(F.explode_outer("all").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
     labels = components(stars.select("a", F.col("m").alias("b")).union(others))
+    dropped(stars)
     links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_links"))
-    rows_ = sketched.join(firsts, ["d1", "d2"]).select("__id", "__k", "rep")
-    rows_ = rows_.join(labels.withColumnRenamed("k", "rep"), "rep", "left").join(links, "rep", "left")
-    rows_ = rows_.select("__id", "__k", F.coalesce("label", "rep").alias("label"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    rows_ = checkpointed(rows_)
-    classes = rows_.groupBy("label").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__k")).alias("f"), F.count("*").alias("class_size"))
-    return rows_.join(classes, "label").select(F.col("__id").alias(doc_id), "__k", F.col("f.__id").alias("class_id"), "class_size", "n_links", F.expr("__k = f.__k").alias("kept"))
+    named = firsts.join(labels.withColumnRenamed("k", "rep"), "rep", "left").join(links, "rep", "left")
+    named = checkpointed(named.select("d1", "d2", "n", F.coalesce("label", "rep").alias("label"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
+    rows_ = checkpointed(split_join(sketched.select("__id", "__k", "d1", "d2"), named, ["d1", "d2"]).select("__id", "__k", "label", "n_links"))
+    dropped(sketched, firsts, named)
+    classes = checkpointed(rows_.groupBy("label").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__k")).alias("f"), F.count("*").alias("class_size")))
+    return split_join(rows_, classes, ["label"], "class_size").select(F.col("__id").alias(doc_id), "__k", F.col("f.__id").alias("class_id"), "class_size", "n_links", F.expr("__k = f.__k").alias("kept"))
