@@ -41,13 +41,13 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import checkpointed, dropped, row_key, small_batches, split_join, whole_text
 from quillgraph.llm.order_minhash import _P, _mix, _powers
 
-LENGTH, ANCHOR, HOT = 400, 128, 4_000
+LENGTH, ANCHOR, HOT = 400, 128, 1_500
 PASSAGE, WORD_ANCHOR = 51, 24
 #: Rows, and bytes of all their lists, of a side that may be broadcast; beyond either the join shuffles.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 SEGMENT = 1 << 19
 #: Bytes of contexts that one suffix array holds; a single anchor has at most ``hot`` contexts.
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
