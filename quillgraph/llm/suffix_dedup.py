@@ -5,7 +5,8 @@ would not be distributed, so texts are first cut to the places that can repeat a
 each window elects an anchor, its ``anchor`` bytes of smallest hash (leftmost on ties).
 Equal windows elect equal anchors at equal distance, so a window can only repeat where
 its anchor does.  Consecutive windows with the same anchor form a context; contexts with
-equal bytes (by a 128-bit BLAKE2 digest of them) repeat as a whole and need no more work.
+equal bytes (by 128 bits: the anchor's hash and half a BLAKE2 digest of the context)
+repeat as a whole and need no more work.
 Only anchors with several different contexts go on: their contexts (one copy each) are
 gathered by anchor and put in suffix order to depth ``length`` by prefix doubling.  The
 longest previous factor of a position is the longer of its common prefixes with the
@@ -18,9 +19,9 @@ An anchor with more than ``hot`` different contexts is never gathered: its windo
 ``keep_first=False`` removes every copy of a repeated window, the first included;
 ``keep_first=True`` spares the first by (doc_id, row key, position).
 
-``shared_words`` finds, by the same election over words (white-space-separated, by 64-bit
-hashes), passages of ``PASSAGE`` words or more that another document holds too, however
-few bytes they have.
+By the same election over words (white-space-separated, by 64-bit
+hashes) it finds passages of ``PASSAGE`` words or more that another document holds too,
+however few bytes they have.
 
 Edge cases: null is the empty text; texts below ``length`` bytes stay whole, as do those
 below ``PASSAGE`` words; repeated rows repeat each other; an empty table gives an empty
@@ -31,7 +32,7 @@ names.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +42,10 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import checkpointed, dropped, row_key, small_batches, split_join, whole_text
 from quillgraph.llm.order_minhash import _P, _mix, _powers
 
-LENGTH, ANCHOR, HOT = 400, 128, 1_500
-PASSAGE, WORD_ANCHOR = 51, 24
+LENGTH, ANCHOR, HOT = 400, 128, 1_000
+PASSAGE, WORD_ANCHOR = 51, 12
 #: Rows, and bytes of all their lists, of a side that may be broadcast; beyond either the join shuffles.
-BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 8 << 20
 SEGMENT = 1 << 19
 #: Bytes of contexts that one suffix array holds; a single anchor has at most ``hot`` contexts.
 CHUNK = 1 << 19
@@ -174,32 +175,31 @@ def factors(raw: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarra
 
 
 def _anchored(docs: DataFrame, length: int, anchor: int, words: int) -> DataFrame:
-    """Byte contexts (place, ah, c1, c2) and word contexts (wplace, wah, wch) of each text; place = start * 2^20 + windows."""
+    """Byte contexts (place, ah, ch) and word contexts (wplace, wah, wch) of each text; place = start * 2^20 + windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[] for _ in range(7)]
+            cols: list[list] = [[] for _ in range(6)]
             for text in batch["__t"].to_pylist():
                 data = text.encode("utf-8", "surrogatepass")
                 raw, view = np.frombuffer(data, np.uint8), memoryview(data)
                 start, count, ah, _ = contexts(raw, length, anchor)
-                digests = b"".join([hashlib.blake2b(view[s:e], digest_size=16).digest() for s, e in zip(start.tolist(), (start + count - 1 + length).tolist(), strict=True)])
-                pair = np.frombuffer(digests, np.int64).reshape(-1, 2)
+                digests = b"".join([hashlib.blake2b(view[s:e], digest_size=8).digest() for s, e in zip(start.tolist(), (start + count - 1 + length).tolist(), strict=True)])
                 ws, wn, wah, wch = contexts(word_symbols(raw), words, min(WORD_ANCHOR, words))
-                for col, x in zip(cols, ((start << 20) | count, ah, pair[:, 0], pair[:, 1], (ws << 20) | wn, wah, wch), strict=True):
+                for col, x in zip(cols, ((start << 20) | count, ah, np.frombuffer(digests, np.int64), (ws << 20) | wn, wah, wch), strict=True):
                     col.append(x)
-            yield pa.record_batch([batch["__id"], batch["__k"], *(pa.array(x, pa.list_(pa.int64())) for x in cols)], ["__id", "__k", "place", "ah", "c1", "c2", "wplace", "wah", "wch"])
+            yield pa.record_batch([batch["__id"], batch["__k"], *(pa.array(x, pa.list_(pa.int64())) for x in cols)], ["__id", "__k", "place", "ah", "ch", "wplace", "wah", "wch"])
 
     kind = docs.schema["__id"].dataType.simpleString()
-    schema = ", ".join(f"{c} array<long>" for c in ("place", "ah", "c1", "c2", "wplace", "wah", "wch"))
+    schema = ", ".join(f"{c} array<long>" for c in ("place", "ah", "ch", "wplace", "wah", "wch"))
     return docs.where(F.octet_length("__t") >= min(length, 2 * words - 1)).select("__id", "__k", "__t").mapInArrow(run, f"__id {kind}, __k long, {schema}")
 
 
 def _gathered(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
-    """rows: ah, c1, c2, ord, ctx, together by ah and sorted by (ah, ord).  Returns c1, c2 and the repeating runs of windows."""
+    """rows: ah, ch, ord, ctx, together by ah and sorted by (ah, ord).  Returns ah, ch and the repeating runs of windows."""
 
     def settle(group: list[tuple]) -> pa.RecordBatch:
-        _, c1, c2, texts = zip(*group, strict=True)
+        ahs, chs, texts = zip(*group, strict=True)
         sizes = np.array([len(t) for t in texts])
         ends = np.cumsum(sizes)
         raw = np.frombuffer(b"".join(texts), np.uint8)
@@ -212,24 +212,24 @@ def _gathered(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
         for s, n in zip(found[first], np.diff(np.append(first, found.size)), strict=True):
             o = owner[s]
             spans[o].append({"j": int(s - (ends[o] - sizes[o])), "n": int(n)})
-        return pa.record_batch([pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(spans, pa.list_(pa.struct([("j", pa.int32()), ("n", pa.int32())])))], ["c1", "c2", "runs"])
+        return pa.record_batch([pa.array(ahs, pa.int64()), pa.array(chs, pa.int64()), pa.array(spans, pa.list_(pa.struct([("j", pa.int32()), ("n", pa.int32())])))], ["ah", "ch", "runs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
         held = 0
         for batch in batches:
-            for row in zip(*(batch[c].to_pylist() for c in ("ah", "c1", "c2", "ctx")), strict=True):
-                if group and row[:3] == group[-1][:3]:
+            for row in zip(*(batch[c].to_pylist() for c in ("ah", "ch", "ctx")), strict=True):
+                if group and row[:2] == group[-1][:2]:
                     continue  # a repeated row
                 if held >= CHUNK and row[0] != group[-1][0]:
                     yield settle(group)
                     group, held = [], 0
                 group.append(row)
-                held += len(row[3])
+                held += len(row[2])
         if group:
             yield settle(group)
 
-    return rows.select("ah", "c1", "c2", "ctx").mapInArrow(run, "c1 long, c2 long, runs array<struct<j: int, n: int>>")
+    return rows.select("ah", "ch", "ctx").mapInArrow(run, "ah long, ch long, runs array<struct<j: int, n: int>>")
 
 
 def _counted(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
@@ -240,88 +240,109 @@ def _counted(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
             for i, ctx in enumerate(batch["ctx"].to_pylist()):
                 n = len(ctx) - length + 1
                 d = np.frombuffer(b"".join(hashlib.blake2b(ctx[j : j + length], digest_size=16).digest() for j in range(n)), np.int64).reshape(-1, 2)
-                one = batch.slice(i, 1).select(["c1", "c2", "ord"])
-                yield pa.record_batch([*(pa.concat_arrays([c] * n) for c in one.columns), pa.array(np.arange(n, dtype=np.int32)), pa.array(d[:, 0]), pa.array(d[:, 1])], ["c1", "c2", "ord", "j", "h1", "h2"])
+                one = batch.slice(i, 1).select(["ah", "ch", "ord"])
+                yield pa.record_batch([*(pa.concat_arrays([c] * n) for c in one.columns), pa.array(np.arange(n, dtype=np.int32)), pa.array(d[:, 0]), pa.array(d[:, 1])], ["ah", "ch", "ord", "j", "h1", "h2"])
 
     kind = rows.schema["ord"].dataType.simpleString()
-    windows = checkpointed(rows.select("c1", "c2", "ord", "ctx").mapInArrow(run, f"c1 long, c2 long, ord {kind}, j int, h1 long, h2 long"))
+    windows = checkpointed(rows.select("ah", "ch", "ord", "ctx").mapInArrow(run, f"ah long, ch long, ord {kind}, j int, h1 long, h2 long"))
     many = windows.groupBy("h1", "h2").agg(F.min("ord").alias("first"), F.count("*").alias("n")).where("n > 1")
     hit = split_join(windows, checkpointed(many), ["h1", "h2"]).where(F.col("ord") != F.col("first") if keep_first else F.lit(True))
-    return hit.groupBy("c1", "c2").agg(F.collect_list(F.struct("j", F.lit(1).alias("n"))).alias("runs"))
+    return hit.groupBy("ah", "ch").agg(F.collect_list(F.struct("j", F.lit(1).alias("n"))).alias("runs"))
 
 
-def _small(df: DataFrame, lists: str) -> DataFrame:
-    """``df`` (checkpointed) marked for broadcast where its checked rows and bytes allow."""
-    size = df.agg(F.count("*").alias("n"), F.sum(F.size(lists)).alias("items")).first()
-    few = size["n"] <= BROADCAST_ROWS and 48 * size["n"] + 96 * (size["items"] or 0) <= BROADCAST_BYTES
-    return F.broadcast(df) if few else df
-
-
-def repeated_spans(docs: DataFrame, places: DataFrame, length: int = LENGTH, keep_first: bool = False, hot: int = HOT) -> DataFrame:
-    """``docs``: __k, __t; ``places`` as of ``_anchored``.  Returns __k and ``spans``: the byte ranges (s, e) to remove; they may overlap."""
-    rows = places.select("__id", "__k", F.explode_outer(F.arrays_zip("place", "ah", "c1", "c2")).alias("x")).select("__id", "__k", "x.*").where("place IS NOT NULL")
-    by_anchor = checkpointed(rows.groupBy("ah").agg(F.count("*").alias("n"), F.min("c1").alias("lo"), F.max("c1").alias("hi")).where("n > 1").selectExpr("ah", "n", "lo <> hi AS mixed"))
-    rows = checkpointed(split_join(rows, by_anchor, ["ah"]).select("ah", "c1", "c2", "mixed", F.struct("__id", "__k", "place").alias("at")))
-    # The salt keeps contexts of one anchor apart, however the rows lie after the join.
-    by_context = checkpointed(rows.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.min("at").alias("ord"), F.first("ah").alias("ah"), F.first("mixed").alias("mixed")))
+def _byte_contexts(places: DataFrame, keep_first: bool) -> tuple[DataFrame, DataFrame]:
+    """(ah, ch, at) of every context whose anchor occurs again, and one row a distinct context: n, the first of them (ord), whether its anchor has others (mixed)."""
+    first = ["__id", "__k"] if keep_first else ["__k"]
+    rows = places.select(*first, F.explode_outer(F.arrays_zip("place", "ah", "ch")).alias("x")).select(*first, "x.*").where("place IS NOT NULL")
+    by_anchor = checkpointed(rows.groupBy("ah").agg(F.count("*").alias("n"), F.min("ch").alias("lo"), F.max("ch").alias("hi")).where("n > 1").selectExpr("ah", "n", "lo <> hi AS mixed"))
+    rows = checkpointed(split_join(rows, by_anchor, ["ah"]).select("ah", "ch", "mixed", F.struct(*first, "place").alias("at")))
+    by_context = checkpointed(rows.groupBy("ah", "ch").agg(F.count("*").alias("n"), F.min("at").alias("ord"), F.first("mixed").alias("mixed")))
     dropped(by_anchor)
-    mixed = by_context.where("mixed")
-    crowds = checkpointed(mixed.groupBy("ah").agg(F.count("*").alias("m")).where(F.col("m") > hot).select("ah", F.lit(True).alias("hot")))  # at most contexts / hot rows
-    crowded = crowds.limit(BROADCAST_ROWS + 1).count()
-    mixed = mixed.join(F.broadcast(crowds) if crowded <= BROADCAST_ROWS else crowds, "ah", "left")
-    mixed = mixed.select("ah", "c1", "c2", "ord", F.coalesce("hot", F.lit(False)).alias("hot"), F.col("ord.__k").alias("__k"), F.shiftright("ord.place", 20).cast("int").alias("s"), (F.expr("ord.place & 1048575") - 1 + length).cast("int").alias("n"))
-    by_doc = checkpointed(mixed.groupBy("__k").agg(F.collect_list(F.struct("ah", "c1", "c2", "ord", "hot", "s", "n")).alias("cuts")))
-    binary = docs.select("__k", F.col("__t").cast("binary").alias("__b"))
-    texts = binary.join(_small(by_doc, "cuts"), "__k")
-    cut = "transform(cuts, c -> struct(c.ah AS ah, c.c1 AS c1, c.c2 AS c2, c.ord AS ord, c.hot AS hot, substring(__b, c.s + 1, c.n) AS ctx))"
-    cuts = texts.select(F.explode_outer(F.expr(cut)).alias("c")).select("c.*")
-    cold = cuts.where("NOT hot").repartition("ah").sortWithinPartitions("ah", "ord", "c1", "c2")
-    runs = _gathered(cold, length, keep_first)
-    if crowded:
-        runs = runs.union(_counted(cuts.where("hot").dropDuplicates(["c1", "c2"]), length, keep_first))
-    runs = checkpointed(runs.where("size(runs) > 0").groupBy("c1", "c2").agg(F.flatten(F.collect_set("runs")).alias("runs")))
-    dropped(by_doc)
-    whole = F.expr("at <> ord") if keep_first else F.expr("n > 1")
-    info = by_context.select("c1", "c2", "n", "ord").join(runs, ["c1", "c2"], "left").where("n > 1 OR runs IS NOT NULL")
-    found = split_join(rows.select("c1", "c2", "at"), checkpointed(info), ["c1", "c2"])
-    found = found.select(F.col("at.__k").alias("__k"), F.shiftright("at.place", 20).alias("s"), F.expr("at.place & 1048575").alias("w"), "runs", whole.alias("whole")).where("whole OR runs IS NOT NULL")
-    span = f"CASE WHEN whole THEN array(struct(s AS s, s + w - 1 + {length} AS e)) ELSE transform(runs, r -> struct(s + r.j AS s, s + r.j + r.n - 1 + {length} AS e)) END"
-    return found.select("__k", F.expr(span).alias("spans"))
+    return rows, by_context
 
 
-def shared_words(docs: DataFrame, places: DataFrame, words: int = PASSAGE) -> DataFrame:
-    """As ``repeated_spans``, in words: the passages of ``words`` words or more that another row holds too."""
+def _word_contexts(places: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same over words: (ch, __k, place) of the contexts whose anchor another row holds, and one row a distinct context: n, its least and greatest row (lo, hi), a place of it (at)."""
     rows = places.select("__k", F.explode_outer(F.arrays_zip("wplace", "wah", "wch")).alias("x")).select("__k", F.col("x.wplace").alias("place"), F.col("x.wah").alias("ah"), F.col("x.wch").alias("ch")).where("place IS NOT NULL")
     by_anchor = checkpointed(rows.groupBy("ah").agg(F.count("*").alias("n"), F.min("__k").alias("lo"), F.max("__k").alias("hi"), F.min("ch").alias("c"), F.max("ch").alias("d")).where("lo <> hi").selectExpr("ah", "n", "c <> d AS mixed"))
-    rows = checkpointed(split_join(rows, by_anchor, ["ah"]).select("ah", "ch", "mixed", "__k", "place"))
-    dropped(by_anchor)
+    rows = checkpointed(split_join(rows, by_anchor, ["ah"]).select("ch", "mixed", "__k", "place"))
     by_context = checkpointed(rows.groupBy("ch").agg(F.count("*").alias("n"), F.min("__k").alias("lo"), F.max("__k").alias("hi"), F.min(F.struct("__k", "place")).alias("at"), F.first("mixed").alias("mixed")))
-    # One copy of each context of a mixed anchor: its windows, with the range of rows that hold it.
-    by_doc = checkpointed(by_context.where("mixed").groupBy(F.col("at.__k").alias("__k")).agg(F.collect_list(F.struct("at.place", "ch", "lo", "hi")).alias("cuts")))
+    dropped(by_anchor)
+    return rows, by_context
+
+
+def _pieces(docs: DataFrame, cuts: DataFrame, length: int, words: int) -> DataFrame:
+    """``cuts``: __k, ``bytes`` (place, ah, ch, hot) and ``words`` (place, ch, lo, hi).  The cut-out bytes (ctx) and the hashes (h) of the word windows, in one pass over the texts concerned."""
+    out = pa.schema([("ah", pa.int64()), ("ch", pa.int64()), ("hot", pa.bool_()), ("ctx", pa.binary()), ("h", pa.int64()), ("j", pa.int32()), ("lo", pa.int64()), ("hi", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, cuts in zip(batch["__t"].to_pylist(), batch["cuts"].to_pylist(), strict=True):
-                symbols = word_symbols(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8))
-                sums, inv = _sums(symbols)
-                place = np.array([c["place"] for c in cuts], np.int64)
-                start, count = place >> 20, place & 1048575
-                which = np.repeat(np.arange(count.size), count)
-                j = np.arange(which.size) - np.repeat(np.cumsum(count) - count, count)
-                s = start[which] + j
-                h = _mix((sums[s + words] - sums[s]) * inv[s]).view(np.int64)
-                rest = [np.array([c[x] for c in cuts], np.int64)[which] for x in ("ch", "lo", "hi")]
-                yield pa.record_batch([pa.array(x) for x in (h, j, *rest)], ["h", "j", "ch", "lo", "hi"])
-
-    texts = docs.select("__k", "__t").join(_small(by_doc, "cuts"), "__k").dropDuplicates(["__k"])
-    windows = checkpointed(texts.select("__t", "cuts").mapInArrow(run, "h long, j long, ch long, lo long, hi long"))
-    dropped(by_doc)
+            for text, own, listed in zip(batch["__t"].to_pylist(), batch["bytes"].to_pylist(), batch["words"].to_pylist(), strict=True):
+                data = text.encode("utf-8", "surrogatepass")
+                if own:
+                    ctx = [data[c["place"] >> 20 : (c["place"] >> 20) + (c["place"] & 1048575) - 1 + length] for c in own]
+                    cols = {"ah": [c["ah"] for c in own], "ch": [c["ch"] for c in own], "hot": [c["hot"] for c in own], "ctx": ctx}
+                    yield pa.record_batch([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(len(own), f.type) for f in out], schema=out)
+                if listed:
+                    symbols = word_symbols(np.frombuffer(data, np.uint8))
+                    sums, inv = _sums(symbols)
+                    place = np.array([c["place"] for c in listed], np.int64)
+                    start, count = place >> 20, place & 1048575
+                    which = np.repeat(np.arange(count.size), count)
+                    j = np.arange(which.size) - np.repeat(np.cumsum(count) - count, count)
+                    s = start[which] + j
+                    cols = {x: np.array([c[x] for c in listed], np.int64)[which] for x in ("ch", "lo", "hi")} | {"h": _mix((sums[s + words] - sums[s]) * inv[s]).view(np.int64), "j": j.astype(np.int32)}
+                    yield pa.record_batch([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(which.size, f.type) for f in out], schema=out)
+
+    size = cuts.agg(F.count("*").alias("n"), F.expr("sum(48 + 96 * coalesce(size(bytes), 0) + 64 * coalesce(size(words), 0))").alias("bytes")).first()
+    small = size["n"] <= BROADCAST_ROWS and (size["bytes"] or 0) <= BROADCAST_BYTES
+    texts = docs.select("__k", "__t").join(F.broadcast(cuts) if small else cuts, "__k").dropDuplicates(["__k"])
+    return checkpointed(texts.select("__t", "bytes", "words").mapInArrow(run, "ah long, ch long, hot boolean, ctx binary, h long, j int, lo long, hi long"))
+
+
+def repeated_spans(docs: DataFrame, places: DataFrame, length: int = LENGTH, keep_first: bool = False, hot: int = HOT, words: int = PASSAGE) -> DataFrame:
+    """``docs``: __k, __t; ``places`` as of ``_anchored``.
+
+    Returns __k, ``spans`` (the byte ranges (s, e) to remove) and ``shared`` (the word
+    ranges of passages of ``words`` words or more that another row holds too); one of
+    them is null in a row, and ranges may overlap.
+    """
+    rows, by_context = _byte_contexts(places, keep_first)
+    wrows, wcontext = _word_contexts(places)
+    crowds = checkpointed(by_context.where("mixed").groupBy("ah").agg(F.count("*").alias("m")).where(F.col("m") > hot).select("ah", F.lit(True).alias("hot")))  # at most contexts / hot rows
+    crowded = crowds.limit(BROADCAST_ROWS + 1).count()
+    mixed = by_context.where("mixed").join(F.broadcast(crowds) if crowded <= BROADCAST_ROWS else crowds, "ah", "left")
+    cuts = mixed.select(F.col("ord.__k").alias("__k"), F.struct(F.col("ord.place").alias("place"), "ah", "ch", F.coalesce("hot", F.lit(False)).alias("hot")).alias("bytes"), F.lit(None).cast("struct<place: bigint, ch: bigint, lo: bigint, hi: bigint>").alias("words"))
+    # One copy of each word context of a mixed anchor, with the range of rows that hold it.
+    more = wcontext.where("mixed").select(F.col("at.__k").alias("__k"), F.lit(None).cast(cuts.schema["bytes"].dataType).alias("bytes"), F.struct("at.place", "ch", "lo", "hi").alias("words"))
+    cuts = checkpointed(cuts.unionByName(more).groupBy("__k").agg(F.collect_list("bytes").alias("bytes"), F.collect_list("words").alias("words")))
+    pieces = _pieces(docs, cuts, length, words)
+    dropped(cuts)
+    # Bytes: suffix order within an anchor, counts for the anchors with very many contexts.
+    found = pieces.where("ctx IS NOT NULL").select("ah", "ch", "hot", "ctx")
+    if keep_first:  # the order of first places decides which one is spared
+        found = found.join(by_context.select("ah", "ch", "ord"), ["ah", "ch"])
+    else:
+        found = found.withColumn("ord", F.col("ch"))
+    runs = _gathered(found.where("NOT hot").repartition("ah").sortWithinPartitions("ah", "ord", "ch"), length, keep_first)
+    if crowded:
+        runs = runs.union(_counted(found.where("hot").dropDuplicates(["ah", "ch"]), length, keep_first))
+    runs = checkpointed(runs.where("size(runs) > 0").groupBy("ah", "ch").agg(F.flatten(F.collect_set("runs")).alias("runs")))
+    # Words: counts of window hashes over the distinct contexts.
+    windows = pieces.where("h IS NOT NULL").select("h", "j", "ch", "lo", "hi")
     many = checkpointed(windows.groupBy("h").agg(F.count("*").alias("n"), F.min("lo").alias("a"), F.max("hi").alias("b")).where("a <> b").select("h", "n"))
-    runs = split_join(windows.where("lo = hi").select("h", "j", "ch"), many, ["h"]).groupBy("ch").agg(F.collect_set("j").alias("runs"))
-    info = by_context.join(checkpointed(runs), "ch", "left").where("lo <> hi OR runs IS NOT NULL").select("ch", "n", (F.col("lo") != F.col("hi")).alias("whole"), "runs")
-    found = split_join(rows.select("ch", "__k", "place"), checkpointed(info), ["ch"])
-    span = f"CASE WHEN whole THEN array(struct(s AS s, s + w - 1 + {words} AS e)) ELSE transform(runs, j -> struct(s + j AS s, s + j + {words} AS e)) END"
-    return found.select("__k", F.shiftright("place", 20).alias("s"), F.expr("place & 1048575").alias("w"), "whole", "runs").select("__k", F.expr(span).alias("spans"))
+    wruns = checkpointed(split_join(windows.where("lo = hi").select("h", "j", "ch"), many, ["h"]).groupBy("ch").agg(F.collect_set("j").alias("runs")))
+    dropped(pieces, many)
+    info = checkpointed(by_context.select("ah", "ch", "n", "ord").join(runs, ["ah", "ch"], "left").where("n > 1 OR runs IS NOT NULL"))
+    hit = split_join(rows.select("ah", "ch", "at"), info, ["ah", "ch"])
+    hit = hit.select(F.col("at.__k").alias("__k"), F.shiftright("at.place", 20).alias("s"), F.expr("at.place & 1048575").alias("w"), "runs", F.expr("at <> ord" if keep_first else "n > 1").alias("whole")).where("whole OR runs IS NOT NULL")
+    span = f"CASE WHEN whole THEN array(struct(s AS s, s + w - 1 + {length} AS e)) ELSE transform(runs, r -> struct(s + r.j AS s, s + r.j + r.n - 1 + {length} AS e)) END"
+    none = "cast(NULL AS array<struct<s: bigint, e: bigint>>)"
+    spans = hit.selectExpr("__k", f"{span} AS spans", f"{none} AS shared")
+    winfo = wcontext.join(wruns, "ch", "left").where("lo <> hi OR runs IS NOT NULL").select("ch", "n", (F.col("lo") != F.col("hi")).alias("whole"), "runs")
+    whit = split_join(wrows.select("ch", "__k", "place"), checkpointed(winfo), ["ch"]).select("__k", F.shiftright("place", 20).alias("s"), F.expr("place & 1048575").alias("w"), "whole", "runs")
+    wspan = f"CASE WHEN whole THEN array(struct(s AS s, s + w - 1 + {words} AS e)) ELSE transform(runs, j -> struct(s + j AS s, s + j + {words} AS e)) END"
+    return spans.unionByName(whit.selectExpr("__k", f"{none} AS spans", f"{wspan} AS shared"))
 
 
 def _covered(spans) -> Iterator[tuple[int, int]]:
@@ -346,9 +367,7 @@ def dedup_repeats(
     docs = df.select(df[doc_id].alias("__id"), whole_text(df, text).alias("__t"))
     docs = docs.withColumn("__k", row_key(F.col("__id"), F.col("__t")))
     places = checkpointed(_anchored(docs, length, anchor, words))
-    none = "cast(NULL AS array<struct<s: bigint, e: bigint>>)"
-    spans = repeated_spans(docs, places, length, keep_first, hot).selectExpr("__k", "spans", f"{none} AS shared")
-    spans = spans.unionByName(shared_words(docs, places, words).selectExpr("__k", f"{none} AS spans", "spans AS shared"))
+    spans = repeated_spans(docs, places, length, keep_first, hot, words)
     spans = spans.groupBy("__k").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.flatten(F.collect_set("shared")).alias("shared"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
