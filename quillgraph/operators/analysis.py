@@ -177,13 +177,13 @@ def cluster_color(cluster: int) -> str:
     return "#" + "".join(f"{int(c * 255):02x}" for c in rgb)
 
 
-def document_graph_mermaid(documents: DataFrame, links: DataFrame, clusters: DataFrame, max_nodes: int = 50) -> str:
-    if max_nodes <= 0:
+def document_graph_mermaid(documents: DataFrame, links: DataFrame, clusters: DataFrame, max_nodes: int | None = 50) -> str:
+    """The documents and their links; ``None`` shows all of them."""
+    if max_nodes is not None and max_nodes <= 0:
         raise ValueError("max_nodes must be positive")
     safe = lambda s: "n_" + "".join(c if c.isalnum() and c.isascii() else "_" for c in s)
     escape = lambda s: s.replace('"', "#quot;").replace("\n", " ")
-    total = documents.count()
-    if total <= max_nodes:
+    if max_nodes is None or documents.limit(max_nodes + 1).count() <= max_nodes:
         edges = document_links(links).select(F.col("document_id").alias("src"), F.col("target_document").alias("dst"))
         shown = documents.select("id", "title")
     else:

@@ -29,7 +29,7 @@ def links_of(rows: DataFrame, source: Column, external: Column, links: str = "li
 def documents_of(rows: DataFrame, source: Column, external: Column, title: Column, version: Column, updated: Column, metadata: Column, kind: str = "generic") -> DataFrame:
     return rows.select(
         ids.document_id(source, external).alias("id"), source.alias("source_id"), external.alias("external"), title.alias("title"), F.lit(kind).alias("kind"), version.cast("long").alias("version"),
-        updated.alias("updated_at"), F.lit(None).cast("timestamp").alias("deleted_at"), F.lit(0).cast("long").alias("graph_version"), metadata.alias("metadata"),
+        F.coalesce(F.try_to_timestamp(updated), F.timestamp_seconds(F.lit(0))).alias("updated_at"), F.lit(None).cast("timestamp").alias("deleted_at"), F.lit(0).cast("long").alias("graph_version"), metadata.alias("metadata"),
     )
 
 

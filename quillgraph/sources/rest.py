@@ -74,6 +74,9 @@ def paginate(http: Http, base: str, path: str) -> Iterator[dict]:
         url = urllib.parse.urljoin(base + "/", nxt) if nxt else None
 
 
+EPOCH = "1970-01-01T00:00:00+00:00"
+
+
 def cloud_pages(http: Http, base: str, space: str) -> Iterator[tuple]:
     found = http.request(f"{base}/wiki/api/v2/spaces?{urllib.parse.urlencode({'keys': space})}").get("results") or []
     if not found:
@@ -81,7 +84,7 @@ def cloud_pages(http: Http, base: str, space: str) -> Iterator[tuple]:
     for p in paginate(http, base, f"/wiki/api/v2/spaces/{found[0]['id']}/pages?body-format=storage&limit=250"):
         version = p.get("version") or {}
         labels = [x.get("name") for x in (p.get("labels") or {}).get("results") or []]
-        yield str(p["id"]), space, p.get("title"), version.get("number"), version.get("createdAt"), labels, p.get("parentId"), ((p.get("body") or {}).get("storage") or {}).get("value") or ""
+        yield str(p["id"]), space, p.get("title"), version.get("number"), version.get("createdAt") or EPOCH, labels, p.get("parentId"), ((p.get("body") or {}).get("storage") or {}).get("value") or ""
 
 
 def server_pages(http: Http, base: str, space: str) -> Iterator[tuple]:
@@ -89,7 +92,7 @@ def server_pages(http: Http, base: str, space: str) -> Iterator[tuple]:
         version = p.get("version") or {}
         labels = [x.get("name") for x in ((p.get("metadata") or {}).get("labels") or {}).get("results") or []]
         above = [a["id"] for a in p.get("ancestors") or [] if a.get("id") is not None]
-        yield str(p["id"]), space, p.get("title"), version.get("number"), version.get("when"), labels, str(above[-1]) if above else None, ((p.get("body") or {}).get("storage") or {}).get("value") or ""
+        yield str(p["id"]), space, p.get("title"), version.get("number"), version.get("when") or EPOCH, labels, str(above[-1]) if above else None, ((p.get("body") or {}).get("storage") or {}).get("value") or ""
 
 
 def cloud_issues(http: Http, base: str, project: str) -> Iterator[tuple]:

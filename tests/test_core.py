@@ -41,7 +41,10 @@ def test_paths(spark, base, path, out):
 def test_text_functions(spark):
     one = spark.range(1)
     assert rows(one.select(tx.slugify(F.lit("Héllo,  World_x!")), tx.heading_anchor(F.lit("Setup {#own}")), tx.first_line(F.lit(" \r\n  ab c"))))[0] == ("héllo-world-x", "own", "ab")
-    assert rows(one.select(tx.is_navigation_heading(F.lit(" See also:")), tx.is_navigation_heading(F.lit("Содержание")), tx.is_navigation_heading(F.lit("Setup")))) == [(True, True, False)]
+    for heading in ("What's next", "Further reading", "Related topics", "см. ещё", "По теме:"):
+        assert rows(one.select(tx.is_navigation_heading(F.lit(heading)))) == [(True,)]
+    assert rows(one.select(tx.is_navigation_heading(F.lit("Contents")))) == [(False,)]
+    assert rows(one.select(tx.is_navigation_heading(F.lit(" See also:")), tx.is_navigation_heading(F.lit("Дальше")), tx.is_navigation_heading(F.lit("Setup")))) == [(True, True, False)]
 
 
 def test_size_rules_are_strict(spark):
@@ -178,7 +181,7 @@ def test_issue_bodies():
     adf = '{"content":[{"type":"heading","attrs":{"level":9},"content":[{"type":"text","text":"H"}]},{"type":"paragraph","content":[{"type":"mention","attrs":{"text":"@m"}},{"type":"hardBreak"},{"type":"inlineCard","attrs":{"url":"u"}}]},{"type":"odd"}]}'
     assert [(x["kind"], x["text"], x["heading_level"]) for x in issues.parse_adf(adf)] == [("heading", "H", None), ("paragraph", "@m u", None), ("unknown", "", None)]
     assert issues.parse_adf("{") [0]["kind"] == "paragraph" and issues.parse_adf("[]") == []
-    got = issues.parse_wiki("h1. A *b*\n----\nbq. q\n{code:java}\nx\n{code}\n* i\n* j\n|a|b|\ntext [l|http://x]\n{panel:title=T}open")
+    got = issues.parse_wiki("h1. A *b*\n----\nbq. q\n{code:java}\nx\n{code}\n* i\n* j\n|a|b|\ntext [l|http://x]\n{panel:title=T}\nopen")
     assert [(x["kind"], x["text"]) for x in got] == [("heading", "A b"), ("hr", ""), ("quote", "q"), ("code", "x"), ("list", "i\nj"), ("table", "a b"), ("paragraph", "text l"), ("panel", "open")]
 
 
