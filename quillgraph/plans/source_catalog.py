@@ -291,7 +291,7 @@ ADF_BLOCKS = [
 
 def order_issues(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """Typed rows of the issues: even orders in wiki markup, odd ones in rich-text JSON."""
-    body = F.lit(WIKI_BODY.replace("\\n", "\n").replace("{{st}}", "{{{{st}}}}".replace("{{{{", "{{").replace("}}}}", "}}"))) if kind == "wiki" else F.lit(ADF_BODY)
+    body = F.lit(WIKI_BODY.replace("\\n", "\n")) if kind == "wiki" else F.lit(ADF_BODY)
     said = F.lit("hi *{k}*") if kind == "wiki" else F.lit('{"type":"doc","content":[' + _P % (_T % "hi {k}") + "]}")
     o = read(spark, sf_dir, "orders").where(F.col("o_orderkey") % 2 == (0 if kind == "wiki" else 1)).withColumn("k", F.col("o_orderkey").cast("string"))
     put = lambda c: F.replace(F.replace(c, F.lit("{k}"), F.col("k")), F.lit("{pri}"), F.col("o_orderpriority"))
@@ -383,12 +383,12 @@ def sync_job_reports(spark, sf_dir):
     return spark.createDataFrame([(i + 1, r.created, r.updated, r.skipped, r.deleted, r.graph_version) for i, r in enumerate(reports)], "run int, created long, updated long, skipped long, deleted long, graph_version long")
 
 
-@query("""WITH t AS (SELECT p_partkey AS k, unnest([p_partkey + 1, p_partkey - 1]) AS d FROM part WHERE p_partkey % 10 <> 0), u AS (SELECT k, d FROM t WHERE d >= 0 AND d < (SELECT count(*) FROM part) AND d % 10 <> 0),
+@query("""WITH t AS (SELECT p_partkey AS k, unnest([p_partkey + 1, p_partkey - 1]) AS d FROM part WHERE p_partkey % 10 <> 0), u AS (SELECT k, d FROM t WHERE d >= 0 AND d < (SELECT count(*) FROM part) AND (d % 10 <> 0 OR k % 10 <> 1)),
  s AS (SELECT k, count(*) AS n FROM u GROUP BY 1), p AS (SELECT a.k AS x, b.k AS y, count(*) AS c FROM u a JOIN u b ON a.d = b.d AND a.k <> b.k GROUP BY 1, 2)
  SELECT count(*) FILTER (p_partkey % 10 <> 0) AS documents, count(*) FILTER (p_partkey % 10 <> 0) AS chunks, 3 AS graph_version,
- (SELECT count(*) FROM p JOIN s ON s.k = p.x WHERE s.n >= 2) AS same_target, (SELECT count(*) FROM u WHERE d = k + 1) AS anchor_follow, (SELECT count(DISTINCT k) FROM u) AS clustered FROM part""")
+ (SELECT count(*) FROM p JOIN s ON s.k = p.x WHERE s.n >= 2) AS same_target, (SELECT count(*) FROM u WHERE d = k + 1 AND d % 10 <> 0) AS anchor_follow, (SELECT count(*) FROM (SELECT k FROM u UNION SELECT d FROM u)) AS clustered FROM part""")
 def rechunk_job(spark, sf_dir):
-    """Chunks, relations and clusters made again from what is stored."""
+    """Chunks, relations and clusters made again from what is stored; links resolved before their target went keep it."""
     corpus, _ = _synced(spark, sf_dir)
     report = sync.rechunk(corpus, CHUNKER)
     sync.recompute_clusters(corpus)

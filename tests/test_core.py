@@ -3,6 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from quillgraph import schemas
 from quillgraph.corpus import Corpus
 from quillgraph.functions import ids, text as tx
 from quillgraph.operators import analysis, chunking as ck, communities, graph_query, relations, resolvers, sync
@@ -205,3 +206,46 @@ def test_catalog_has_sql_for_its_queries():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 35
+
+
+def test_transactions_and_buckets(spark, tmp_path):
+    corpus = Corpus(spark, str(tmp_path), "s", digits=2)
+    row = lambda i, title: (f"doc:s:{i}", "s", str(i), title, "generic", 1, None, None, 0, None)
+    make = lambda *r: spark.createDataFrame([row(*x) for x in r], schemas.DOCUMENTS)
+    corpus.replace("documents", make(*((i, "a") for i in range(40))))
+    before = corpus._current()["tables"]["documents"]
+    corpus.upsert("documents", make((3, "b")), "id")
+    after = corpus._current()["tables"]["documents"]
+    assert [b for b in after if after[b] != before.get(b)] == corpus.buckets_of(make((3, "b")))  # the other buckets stay
+    assert sorted(r["title"] for r in corpus.table("documents").collect()) == ["a"] * 39 + ["b"]
+    with pytest.raises(RuntimeError, match="half"), corpus.transaction():
+        corpus.replace("documents", make((1, "z")))
+        corpus.bump_graph_version()
+        raise RuntimeError("half way")
+    assert corpus.table("documents").count() == 40 and corpus.graph_version() == 0
+    for _ in range(4):
+        corpus.replace("documents", make((1, "z")))
+    assert [r["title"] for r in corpus.table("documents").collect()] == ["z"] and len(corpus._pointers()) == 2
+
+
+def test_repeated_incoming_ids(spark, tmp_path):
+    files = [("a.md", "# A"), ("a.md", "# A")]
+    tables = build.markdown_corpus(spark.createDataFrame([(p, t, datetime.datetime(2026, 1, 1)) for p, t in files], "path string, text string, updated_at timestamp"), "s")
+    corpus = Corpus(spark, str(tmp_path), "s")
+    assert sync.sync(corpus, *tables.values(), ck.PolicyChunker(ck.policy([])), resolvers.resolve_files).created == 1
+    assert corpus.table("documents").count() == corpus.table("sections").count() == corpus.table("chunks").count() == 1
+
+
+def test_wiki_inline_marks():
+    take = issues.strip_inline
+    assert take("a [l|u] [x] {{m}} *b* _i_ a_b_c  d") == "a l x m b i abc d"
+    assert take("[a|] [|b] [] ** * * {{}} {{a}b}} _\n_ [open") == "a| |b [] * * {{}} {{a}b}} _ _ [open"
+    assert take("[a [b|c] *x [y*|z]") == "a [b x y|z" or take("[a [b|c]") == "a [b"
+
+
+def test_mermaid_without_limit(spark):
+    docs = spark.createDataFrame([(f"d{i}", None) for i in range(60)], "id string, title string")
+    links_ = spark.createDataFrame([(f"d{i}", f"d{i + 1}", True) for i in range(59)], "document_id string, target_document string, resolved boolean")
+    none = spark.createDataFrame([], "document_id string, cluster_id long")
+    assert analysis.document_graph_mermaid(docs, links_, none, None).count("-->") == 59
+    assert "(others)" in analysis.document_graph_mermaid(docs, links_, none, 50)
