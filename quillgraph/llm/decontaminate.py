@@ -40,25 +40,31 @@ def words(text: str) -> str:
 
 
 def _gram(w: str, n: int) -> str:
+    """SQL expression: the hash of ``n`` words from place ``i``; runs of different lengths have different ones."""
     return f"xxhash64({n}, {', '.join(f'get({w}, i + {j})' for j in range(n))})"
 
 
-_NONE = "cast(array() AS array<struct<f: bigint, at: int>>)"
+def _let(value: str, name: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def with_winnowed(df: DataFrame, w: str, out: str, k: int = K, length: int = LENGTH) -> DataFrame:
-    """Add the winnowed fingerprints (f, at) of the word array ``w``; empty below ``length`` words.
+def _grams(w: str, n: int, least: int) -> str:
+    """SQL expression: the hashes of all runs of ``n`` words, none in a text of fewer than ``least``."""
+    return f"CASE WHEN size({w}) >= {least} THEN transform(sequence(0, size({w}) - {n}), i -> {_gram(w, n)}) ELSE cast(array() AS array<bigint>) END"
 
-    A k-gram is kept where it is the smallest of some window, ties included.
-    """
+
+def winnowed(w: str, k: int = K, length: int = LENGTH) -> str:
+    """SQL expression: the distinct winnowed fingerprints of the word array ``w``; none below ``length`` words."""
     width = length - k + 1
-    df = df.withColumn("__h", F.expr(f"CASE WHEN size({w}) >= {length} THEN transform(sequence(0, size({w}) - {k}), i -> {_gram(w, k)}) ELSE cast(array() AS array<bigint>) END"))
-    least = ", ".join(f"get(__h, i + {j})" for j in range(width))
-    least = f"least({least})" if width > 1 else least
-    df = df.withColumn("__least", F.expr(f"CASE WHEN size(__h) > 0 THEN transform(sequence(0, size(__h) - {width}), i -> {least}) END"))
-    kept = " OR ".join(f"get(__h, i) = get(__least, i - {j})" for j in range(width))
-    df = df.withColumn(out, F.expr(f"CASE WHEN size(__h) > 0 THEN transform(filter(sequence(0, size(__h) - 1), i -> {kept}), i -> struct(get(__h, i) AS f, i AS at)) ELSE {_NONE} END"))
-    return df.drop("__h", "__least")
+    least = f"least({', '.join(f'get(h, i + {j})' for j in range(width))})" if width > 1 else "get(h, i)"
+    kept = f"CASE WHEN size(h) > 0 THEN array_distinct(transform(sequence(0, size(h) - {width}), i -> {least})) ELSE h END"
+    return _let(_grams(w, k, length), "h", kept)
+
+
+def places(w: str, sizes: list[int], wanted: str, length: int = LENGTH, k: int = K) -> str:
+    """SQL expression: where in ``w`` (f, at) the runs of k words, and those as long as the short items (``sizes``), have a hash that is in the array ``wanted``."""
+    found = [_let(_grams(w, n, n if n < length else length), "h", f"filter(transform(h, (f, at) -> struct(f AS f, at AS at)), x -> array_contains({wanted}, x.f))") for n in sizes]
+    return found[0] if len(found) == 1 else f"concat({', '.join(found)})"
 
 
 def _small(df: DataFrame, lists: str | None = None) -> DataFrame:
@@ -67,44 +73,40 @@ def _small(df: DataFrame, lists: str | None = None) -> DataFrame:
     return F.broadcast(df) if size["n"] <= BROADCAST_ROWS and (size["bytes"] or 0) <= BROADCAST_BYTES else df
 
 
-def _joined(found: DataFrame, marks: DataFrame) -> DataFrame:
-    """``found`` (__k, f, at) with the marks of equal f; a very common fingerprint is not gathered in one task."""
-    small = _small(marks)
-    if small is not marks:
-        return found.join(small, "f")
-    counted = found.groupBy("f").agg(F.count("*").alias("n")).join(marks.select("f").distinct(), "f")
-    lists = checkpointed(counted.join(marks.groupBy("f").agg(F.collect_list(F.struct("c", "i")).alias("marks")), "f"))
-    return split_join(found, lists, ["f"]).select("__k", "f", "at", F.explode_outer("marks").alias("m")).select("__k", "f", "at", "m.*")
-
-
 def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", k: int = K, length: int = LENGTH) -> DataFrame:
     """Per row of ``docs``: id, row key ``__k``, n_words, n_hit and ``items`` (ids as sorted strings)."""
     docs = docs.select(docs[doc_id].alias("__id"), whole_text(docs, text).alias("__t"))
-    docs = docs.withColumn("__k", row_key(F.col("__id"), F.col("__t"))).withColumn("__w", F.expr(words("__t"))).drop("__t")
+    docs = docs.withColumn("__k", row_key(F.col("__id"), F.col("__t")))
     items = items.select(items[item_id].cast("string").alias("item"), F.expr(words("coalesce(cast(" + text + " AS string), '')")).alias("iw")).where("size(iw) > 0")
     items = checkpointed(items.withColumn("c", F.expr("sha2(array_join(iw, ' '), 256)")))
     classes = checkpointed(items.groupBy("c").agg(F.first("iw").alias("iw")))
     short = sorted(r["n"] for r in classes.select(F.size("iw").alias("n")).where(F.col("n") < length).distinct().collect())  # fewer than `length` numbers
-    whole = "".join(f" WHEN size(iw) = {n} THEN transform(array(0), i -> struct({_gram('iw', n)} AS f, i AS at))" for n in short)
-    marks = with_winnowed(classes, "iw", "kept", k, length).withColumn("kept", F.expr(f"CASE WHEN size(iw) >= {length} THEN kept{whole} END"))
-    marks = checkpointed(marks.select("c", F.explode_outer("kept").alias("m")).select("m.f", F.col("m.at").alias("i"), "c"))
-    # First pass: fingerprints of every document, and the hashes of all runs as long as a short item.
-    seen = with_winnowed(docs, "__w", "kept", k, length)
-    brief = "".join(f", CASE WHEN size(__w) >= {n} THEN transform(sequence(0, size(__w) - {n}), i -> struct({_gram('__w', n)} AS f, i AS at)) ELSE {_NONE} END" for n in short)
-    seen = seen.select("__k", F.explode_outer(F.expr(f"concat(kept{brief})")).alias("m")).select("__k", "m.f", "m.at").where("f IS NOT NULL")
-    hits = _joined(seen, marks).groupBy("__k", "c").agg(F.collect_set(F.expr("at - i")).alias("offsets"))
+    whole = "".join(f" WHEN size(iw) = {n} THEN {_grams('iw', n, n)}" for n in short)
+    marks = classes.withColumn("kept", F.expr(f"CASE WHEN size(iw) >= {length} THEN {winnowed('iw', k, length)}{whole} END"))
+    marks = marks.select("c", F.explode_outer(F.expr(places("iw", [k, *short], "kept", length, k))).alias("m")).select("m.f", F.col("m.at").alias("i"), "c").where("f IS NOT NULL")
+    marks = checkpointed(marks.groupBy("f").agg(F.collect_list(F.struct("c", "i")).alias("marks"), F.count("*").alias("m")))
+    # First pass over all texts: which documents share a fingerprint with an item, or the hash of a run as long as a short item.
+    seen = winnowed("__w", k, length) + "".join(f", array_distinct({_grams('__w', n, n)})" for n in short)
+    seen = docs.select("__k", F.expr(words("__t")).alias("__w")).select("__k", F.explode_outer(F.expr(f"concat({seen})")).alias("f")).where("f IS NOT NULL")
+    candidates = checkpointed(seen.join(_small(marks.select("f")), "f", "left_semi").groupBy("__k").agg(F.collect_set("f").alias("fs")))
+    # Their places in those documents, and so the offsets at which an item lies beside the text.
+    near = docs.join(_small(candidates, "48 + 24 * size(fs)"), "__k").dropDuplicates(["__k"])
+    near = near.select("__k", F.expr(words("__t")).alias("__w"), "fs")
+    found = checkpointed(near.select("__k", F.explode_outer(F.expr(places("__w", [k, *short], "fs", length, k))).alias("x")).select("__k", "x.f", "x.at"))
+    hits = split_join(found, checkpointed(found.groupBy("f").agg(F.count("*").alias("n")).join(marks.select("f", "marks"), "f")), ["f"])
+    hits = hits.select("__k", "at", F.explode_outer("marks").alias("m")).groupBy("__k", "m.c").agg(F.collect_set(F.expr("at - m.i")).alias("offsets"))
     hits = checkpointed(hits.join(classes, "c").groupBy("__k").agg(F.collect_list(F.struct("c", "offsets", "iw")).alias("beside")))
     # Extension, in the documents at hand: the runs of equal words along each offset.
     equal = "j < size(g.iw) AND get(__w, d + j) = get(g.iw, j)"
     longer = f"CASE WHEN j - a.s >= least({length}, size(g.iw)) THEN concat(a.o, array(struct(d + a.s AS at, j - a.s AS n))) ELSE a.o END"
     empty = "cast(array() AS array<struct<at: int, n: int>>)"
     runs = f"aggregate(sequence(0, size(g.iw)), named_struct('s', 0, 'o', {empty}), (a, j) -> CASE WHEN {equal} THEN a ELSE named_struct('s', j + 1, 'o', {longer}) END, a -> a.o)"
-    near = docs.join(_small(hits, "aggregate(beside, 64L, (a, g) -> a + 96 + 8 * size(g.offsets) + 24 * size(g.iw))"), "__k").dropDuplicates(["__k"])
-    near = near.select("__k", F.expr(f"filter(transform(beside, g -> struct(g.c AS c, flatten(transform(g.offsets, d -> {runs})) AS spans)), g -> size(g.spans) > 0)").alias("hit")).where("size(hit) > 0")
-    near = checkpointed(near)
+    beside = docs.join(_small(hits, "aggregate(beside, 64L, (a, g) -> a + 96 + 8 * size(g.offsets) + 24 * size(g.iw))"), "__k").dropDuplicates(["__k"]).select("__k", F.expr(words("__t")).alias("__w"), "beside")
+    hit = beside.select("__k", F.expr(f"filter(transform(beside, g -> struct(g.c AS c, flatten(transform(g.offsets, d -> {runs})) AS spans)), g -> size(g.spans) > 0)").alias("hit")).where("size(hit) > 0")
+    hit = checkpointed(hit)
     covered = "aggregate(array_sort(array_distinct(flatten(transform(hit, g -> g.spans)))), named_struct('e', 0, 'n', 0L), (a, s) -> named_struct('e', greatest(a.e, s.at + s.n), 'n', a.n + greatest(0, s.at + s.n - greatest(s.at, a.e))), a -> a.n)"
-    named = near.select("__k", F.explode_outer("hit.c").alias("c")).join(items.select("c", "item"), "c").groupBy("__k").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    found = checkpointed(near.select("__k", F.expr(covered).alias("n_hit")).join(named, "__k"))
-    dropped(hits, near, marks, classes)
-    out = docs.select("__id", "__k", F.size("__w").cast("long").alias("n_words")).join(_small(found, "96 + 48 * size(items)"), "__k", "left")
+    named = hit.select("__k", F.explode_outer("hit.c").alias("c")).join(items.select("c", "item"), "c").groupBy("__k").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    result = checkpointed(hit.select("__k", F.expr(covered).alias("n_hit")).join(named, "__k"))
+    dropped(candidates, found, hits, hit, marks, classes)
+    out = docs.select("__id", "__k", F.expr(f"cast(size({words('__t')}) AS bigint)").alias("n_words")).join(_small(result, "96 + 48 * size(items)"), "__k", "left")
     return out.select(F.col("__id").alias(doc_id), "__k", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.expr("coalesce(items, cast(array() AS array<string>))").alias("items"))
