@@ -39,6 +39,12 @@ def words(text: str) -> str:
     return f"regexp_extract_all(translate({text}, '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '{pattern}', 0)"
 
 
+def words_of_any_case(text: str) -> str:
+    """SQL expression: as many words, as they are written."""
+    pattern = WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60").replace("\\", "\\\\")
+    return f"regexp_extract_all({text}, '{pattern}', 0)"
+
+
 def _gram(w: str, n: int) -> str:
     """SQL expression: the hash of ``n`` words from place ``i``; runs of different lengths have different ones."""
     return f"xxhash64({n}, {', '.join(f'get({w}, i + {j})' for j in range(n))})"
@@ -90,8 +96,8 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", ite
     seen = docs.select("__k", F.expr(words("__t")).alias("__w")).select("__k", F.explode_outer(F.expr(f"concat({seen})")).alias("f")).where("f IS NOT NULL")
     candidates = checkpointed(seen.join(_small(marks.select("f")), "f", "left_semi").groupBy("__k").agg(F.collect_set("f").alias("fs")))
     # Their places in those documents, and so the offsets at which an item lies beside the text.
-    near = docs.join(_small(candidates, "48 + 24 * size(fs)"), "__k").dropDuplicates(["__k"])
-    near = near.select("__k", F.expr(words("__t")).alias("__w"), "fs")
+    # Words are split below an aggregation, which holds them as they are: later projections would split them again for every use.
+    near = docs.join(_small(candidates, "48 + 24 * size(fs)"), "__k").select("__k", F.expr(words("__t")).alias("__w"), "fs").dropDuplicates(["__k"])
     found = checkpointed(near.select("__k", F.explode_outer(F.expr(places("__w", [k, *short], "fs", length, k))).alias("x")).select("__k", "x.f", "x.at"))
     hits = split_join(found, checkpointed(found.groupBy("f").agg(F.count("*").alias("n")).join(marks.select("f", "marks"), "f")), ["f"])
     hits = hits.select("__k", "at", F.explode_outer("marks").alias("m")).groupBy("__k", "m.c").agg(F.collect_set(F.expr("at - m.i")).alias("offsets"))
@@ -101,12 +107,12 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", ite
     longer = f"CASE WHEN j - a.s >= least({length}, size(g.iw)) THEN concat(a.o, array(struct(d + a.s AS at, j - a.s AS n))) ELSE a.o END"
     empty = "cast(array() AS array<struct<at: int, n: int>>)"
     runs = f"aggregate(sequence(0, size(g.iw)), named_struct('s', 0, 'o', {empty}), (a, j) -> CASE WHEN {equal} THEN a ELSE named_struct('s', j + 1, 'o', {longer}) END, a -> a.o)"
-    beside = docs.join(_small(hits, "aggregate(beside, 64L, (a, g) -> a + 96 + 8 * size(g.offsets) + 24 * size(g.iw))"), "__k").dropDuplicates(["__k"]).select("__k", F.expr(words("__t")).alias("__w"), "beside")
-    hit = beside.select("__k", F.expr(f"filter(transform(beside, g -> struct(g.c AS c, flatten(transform(g.offsets, d -> {runs})) AS spans)), g -> size(g.spans) > 0)").alias("hit")).where("size(hit) > 0")
-    hit = checkpointed(hit)
+    beside = docs.join(_small(hits, "aggregate(beside, 64L, (a, g) -> a + 96 + 8 * size(g.offsets) + 24 * size(g.iw))"), "__k").select("__k", F.expr(words("__t")).alias("__w"), "beside").dropDuplicates(["__k"])
+    hit = beside.select("__k", F.expr(f"filter(transform(beside, g -> struct(g.c AS c, flatten(transform(g.offsets, d -> {runs})) AS spans)), g -> size(g.spans) > 0)").alias("hit"))
+    hit = checkpointed(hit).where("size(hit) > 0")
     covered = "aggregate(array_sort(array_distinct(flatten(transform(hit, g -> g.spans)))), named_struct('e', 0, 'n', 0L), (a, s) -> named_struct('e', greatest(a.e, s.at + s.n), 'n', a.n + greatest(0, s.at + s.n - greatest(s.at, a.e))), a -> a.n)"
     named = hit.select("__k", F.explode_outer("hit.c").alias("c")).join(items.select("c", "item"), "c").groupBy("__k").agg(F.sort_array(F.collect_set("item")).alias("items"))
     result = checkpointed(hit.select("__k", F.expr(covered).alias("n_hit")).join(named, "__k"))
-    dropped(candidates, found, hits, hit, marks, classes)
-    out = docs.select("__id", "__k", F.expr(f"cast(size({words('__t')}) AS bigint)").alias("n_words")).join(_small(result, "96 + 48 * size(items)"), "__k", "left")
+    dropped(candidates, found, hits, marks, classes)
+    out = docs.select("__id", "__k", F.expr(f"cast(size({words_of_any_case('__t')}) AS bigint)").alias("n_words")).join(_small(result, "96 + 48 * size(items)"), "__k", "left")
     return out.select(F.col("__id").alias(doc_id), "__k", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.expr("coalesce(items, cast(array() AS array<string>))").alias("items"))
