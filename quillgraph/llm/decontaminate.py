@@ -39,12 +39,6 @@ def words(text: str) -> str:
     return f"regexp_extract_all(translate({text}, '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '{pattern}', 0)"
 
 
-def words_of_any_case(text: str) -> str:
-    """SQL expression: as many words, as they are written."""
-    pattern = WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60").replace("\\", "\\\\")
-    return f"regexp_extract_all({text}, '{pattern}', 0)"
-
-
 def _gram(w: str, n: int) -> str:
     """SQL expression: the hash of ``n`` words from place ``i``; runs of different lengths have different ones."""
     return f"xxhash64({n}, {', '.join(f'get({w}, i + {j})' for j in range(n))})"
@@ -92,9 +86,11 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", ite
     marks = marks.select("c", F.explode_outer(F.expr(places("iw", [k, *short], "kept", length, k))).alias("m")).select("m.f", F.col("m.at").alias("i"), "c").where("f IS NOT NULL")
     marks = checkpointed(marks.groupBy("f").agg(F.collect_list(F.struct("c", "i")).alias("marks"), F.count("*").alias("m")))
     # First pass over all texts: which documents share a fingerprint with an item, or the hash of a run as long as a short item.
-    seen = winnowed("__w", k, length) + "".join(f", array_distinct({_grams('__w', n, n)})" for n in short)
-    seen = docs.select("__k", F.expr(words("__t")).alias("__w")).select("__k", F.explode_outer(F.expr(f"concat({seen})")).alias("f")).where("f IS NOT NULL")
-    candidates = checkpointed(seen.join(_small(marks.select("f")), "f", "left_semi").groupBy("__k").agg(F.collect_set("f").alias("fs")))
+    wanted = winnowed("__w", k, length) + "".join(f", array_distinct({_grams('__w', n, n)})" for n in short)
+    seen = docs.select("__id", "__k", F.expr(words("__t")).alias("__w"))
+    seen = checkpointed(seen.select("__id", "__k", F.size("__w").cast("long").alias("n_words"), F.expr(f"concat({wanted})").alias("fs")))  # the only pass over all texts
+    each = seen.select("__k", F.explode_outer("fs").alias("f")).where("f IS NOT NULL")
+    candidates = checkpointed(each.join(_small(marks.select("f")), "f", "left_semi").groupBy("__k").agg(F.collect_set("f").alias("fs")))
     # Their places in those documents, and so the offsets at which an item lies beside the text.
     # Words are split below an aggregation, which holds them as they are: later projections would split them again for every use.
     near = docs.join(_small(candidates, "48 + 24 * size(fs)"), "__k").select("__k", F.expr(words("__t")).alias("__w"), "fs").dropDuplicates(["__k"])
@@ -114,5 +110,5 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", ite
     named = hit.select("__k", F.explode_outer("hit.c").alias("c")).join(items.select("c", "item"), "c").groupBy("__k").agg(F.sort_array(F.collect_set("item")).alias("items"))
     result = checkpointed(hit.select("__k", F.expr(covered).alias("n_hit")).join(named, "__k"))
     dropped(candidates, found, hits, marks, classes)
-    out = docs.select("__id", "__k", F.expr(f"cast(size({words_of_any_case('__t')}) AS bigint)").alias("n_words")).join(_small(result, "96 + 48 * size(items)"), "__k", "left")
+    out = seen.select("__id", "__k", "n_words").join(_small(result, "96 + 48 * size(items)"), "__k", "left")
     return out.select(F.col("__id").alias(doc_id), "__k", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.expr("coalesce(items, cast(array() AS array<string>))").alias("items"))
