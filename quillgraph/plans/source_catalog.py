@@ -397,6 +397,15 @@ def rechunk_job(spark, sf_dir):
     return spark.createDataFrame([row], "documents long, chunks long, graph_version long, same_target long, anchor_follow long, clustered long")
 
 
+@query("SELECT c_custkey AS document_id, c_custkey // 5 * 5 AS leader FROM customer WHERE (SELECT max(c_custkey) FROM customer) > c_custkey // 5 * 5")
+def communities_of_cliques(spark, sf_dir):
+    """Customers in cliques of five: each clique is a community, led by its least member."""
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    edges = c.withColumn("other", F.explode(F.expr("transform(array(1, 2, 3, 4), i -> k div 5 * 5 + (k % 5 + i) % 5)"))).join(c.select(F.col("k").alias("other")), "other")
+    found = communities.communities(edges.select(F.col("k").alias("document_id"), F.col("other").alias("target_document")))
+    return found.select("document_id", "leader")
+
+
 # Reads -----------------------------------------------------------------------------------------
 @query("SELECT 'doc:order:' || o_orderkey AS document_id, CASE WHEN o_orderkey % 3 > 0 THEN o_custkey % 7 END AS cluster_id FROM orders")
 def doc_cluster_map(spark, sf_dir):
