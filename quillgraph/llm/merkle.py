@@ -127,19 +127,15 @@ def with_next(df: DataFrame, doc_id: str, text: str, out: str) -> DataFrame:
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = min(max(2 * parts, 2), 4096)
-    kind = df.schema[doc_id].dataType.simpleString()
+    share = min(1.0, PER_RANGE * ranges / max(df.count(), 1))
     df = df.withColumn("__key", F.struct(F.col(doc_id).isNotNull().alias("known"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("tie")))
-    keys = df.select("__key")
-    size = keys.agg(F.count("*").alias("n"), F.min("__key").alias("lo")).first()
-    share = min(1.0, PER_RANGE * ranges / max(size["n"], 1))
-    found = keys.where(F.pmod(F.xxhash64("__key"), F.lit(1 << 30)) < int(share * (1 << 30))).distinct().collect()  # about PER_RANGE keys a range
-    found = sorted((r[0] for r in found), key=lambda k: (k["known"], k["id"] if k["known"] else 0, k["tie"]))
-    bounds = [size["lo"], *found[PER_RANGE::PER_RANGE]] if size["n"] else []
-    listed = [(i, b["known"], b["id"], b["tie"]) for i, b in enumerate(b for k, b in enumerate(bounds) if k == 0 or b != bounds[0])]
-    table = df.sparkSession.createDataFrame(listed, f"i int, known boolean, id {kind}, tie long").agg(F.expr("transform(array_sort(collect_list(struct(i, known, id, tie))), b -> struct(b.known AS known, b.id AS id, b.tie AS tie))").alias("__bounds"))
-    df = df.join(F.broadcast(table))  # one row of at most 4096 keys
+    # One row of about `ranges` keys: the least of all, then every PER_RANGE-th of a sample by hash.
+    sampled = F.when(F.pmod(F.xxhash64("__key"), F.lit(1 << 30)) < int(share * (1 << 30)), F.col("__key"))
+    table = df.agg(F.min("__key").alias("lo"), F.sort_array(F.collect_set(sampled)).alias("some"))
+    table = table.select(F.expr(f"concat(array(lo), filter(some, (x, i) -> i > 0 AND i % {PER_RANGE} = 0 AND x <> lo))").alias("__bounds"))
+    df = df.join(F.broadcast(table))
     df = df.withColumn("__own", F.expr("size(filter(__bounds, b -> b <= __key)) - 1"))
-    visits = f"array(struct(__own AS b, 0 AS guest), struct(CASE WHEN __own = 0 THEN {max(len(listed) - 1, 0)} ELSE __own - 1 END AS b, 1 AS guest))"
+    visits = "array(struct(__own AS b, 0 AS guest), struct(CASE WHEN __own = 0 THEN size(__bounds) - 1 ELSE __own - 1 END AS b, 1 AS guest))"
     df = df.withColumn("__at", F.expr(f"explode(CASE WHEN __key = get(__bounds, __own) THEN {visits} ELSE array(struct(__own AS b, 0 AS guest)) END)"))
     order = Window.partitionBy("__b").orderBy("__guest", "__key")
     df = df.drop("__bounds").select("*", F.col("__at.b").alias("__b"), F.col("__at.guest").alias("__guest"))

@@ -141,7 +141,8 @@ def candidates(docs: DataFrame, queries: dict[str, Clauses]) -> DataFrame:
     """(__k, rules): for each row the rules one of whose clauses has all its trigrams there."""
     spark = docs.sparkSession
     clauses = [(kind, i, t, len(c)) for kind, q in queries.items() for i, c in enumerate(q) for t in c]
-    listed = spark.createDataFrame(clauses, "rule string, clause int, trigram string, need int")
+    rows = ", ".join(f"struct({_literal(r)} AS rule, {i} AS clause, {_literal(t)} AS trigram, {n} AS need)" for r, i, t, n in clauses)
+    listed = spark.range(1).selectExpr(f"inline(array({rows}))")
     postings = trigram_index(docs, sorted({c[2] for c in clauses})).distinct()
     met = postings.join(F.broadcast(listed), "trigram").groupBy("__k", "rule", "clause", "need").count().where("count = need")  # broadcast: a few rows per rule
     return met.groupBy("__k").agg(F.collect_set("rule").alias("rules"))
