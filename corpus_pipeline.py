@@ -4,7 +4,10 @@ Each stage works on all its predecessor kept, is written as Parquet in the share
 and read again.  All stages but the last return the columns of the documents they got;
 the last adds rate and copies.
 
-Nulls are empty texts; repeated rows are settled by the near-duplicate stage (one stays).
+Edge cases: nulls are empty texts, in no language; repeated rows are settled by the
+near-duplicate stage (one stays); an empty table passes through; very long texts are
+handled as the operators do; extra columns pass through, but ``rate`` and ``copies`` of
+the input give way to those of the last stage.
 """
 
 from __future__ import annotations
@@ -79,11 +82,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result but the last passes through the shared folder."""
+    """All stages over ``documents``; each result passes through the shared folder, and goes when the next one stands."""
     docs = table(spark, sf_dir, "documents")
     base = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         docs.write.parquet(f"{base}/{i}-{name}")
         docs = spark.read.parquet(f"{base}/{i}-{name}")
+        if before is not None:
+            where = spark._jvm.org.apache.hadoop.fs.Path(before)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        before = f"{base}/{i}-{name}"
     return docs
