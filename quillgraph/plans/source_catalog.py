@@ -26,13 +26,18 @@ def _listed(rows: str, items: list[dict[str, str]], columns: dict[str, str]) ->
     return f"SELECT k, {', '.join(f'u.{c} AS {c}' for c in columns)} FROM (SELECT *, unnest([{structs}]) AS u FROM ({rows}))"
 
 
+def dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table over all tasks: parsing costs far more than moving its few columns."""
+    return read(spark, sf_dir, name).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 # Markdown ----------------------------------------------------------------------------------
 PARTS_SQL = "SELECT p_partkey AS k, p_name AS name, p_type AS kind, p_brand AS brand, p_size AS size, (SELECT count(*) FROM part) AS n FROM part"
 
 
 def part_files(spark: SparkSession, sf_dir: str, root: bool = True) -> DataFrame:
     """(path, text, updated_at): one file a part, its front matter in turn YAML, TOML, JSON or none; ``root`` adds a last line of links."""
-    p = read(spark, sf_dir, "part")
+    p = dealt(spark, sf_dir, "part")
     front = """CASE p_partkey % 4
       WHEN 0 THEN concat('---\\ntitle: Part ', p_partkey, '\\ntags: [', p_type, ', s', p_size, ']\\nsize: ', p_size, '\\n---\\n')
       WHEN 1 THEN concat('+++\\ntitle = "Part ', p_partkey, '"\\ntags = ["', p_type, '", "s', p_size, '"]\\nsize = ', p_size, '\\n+++\\n')
@@ -178,7 +183,7 @@ def customer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         + macro("include", para("", '<ac:link><ri:page ri:content-title="Page {k2}" ri:space-key="S{s2}"/></ac:link>'))
         + '<p><ac:link><ri:attachment ri:filename="f{k}.txt"/></ac:link><ac:link><ri:user ri:account-id="u{k}"/></ac:link></p><h2>См. также</h2><section>odd {k}</section>'
     )
-    c = read(spark, sf_dir, "customer").withColumns({"k": F.col("c_custkey"), "bad": F.col("c_custkey") % 10 == 9})
+    c = dealt(spark, sf_dir, "customer").withColumns({"k": F.col("c_custkey"), "bad": F.col("c_custkey") % 10 == 9})
     text = F.when(F.col("bad"), F.lit("<p>open {k}<p>two")).otherwise(F.lit(body))
     for name, value in {"k1": "k + 1", "k2": "k + 2", "s1": "(k + 1) % 3", "s2": "(k + 2) % 3", "name": "c_name", "seg": "c_mktsegment", "k": "k"}.items():
         text = F.replace(text, F.lit("{" + name + "}"), F.expr(f"cast({value} AS string)"))
@@ -293,7 +298,7 @@ def order_issues(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """Typed rows of the issues: even orders in wiki markup, odd ones in rich-text JSON."""
     body = F.lit(WIKI_BODY.replace("\\n", "\n")) if kind == "wiki" else F.lit(ADF_BODY)
     said = F.lit("hi *{k}*") if kind == "wiki" else F.lit('{"type":"doc","content":[' + _P % (_T % "hi {k}") + "]}")
-    o = read(spark, sf_dir, "orders").where(F.col("o_orderkey") % 2 == (0 if kind == "wiki" else 1)).withColumn("k", F.col("o_orderkey").cast("string"))
+    o = dealt(spark, sf_dir, "orders").where(F.col("o_orderkey") % 2 == (0 if kind == "wiki" else 1)).withColumn("k", F.col("o_orderkey").cast("string"))
     put = lambda c: F.replace(F.replace(c, F.lit("{k}"), F.col("k")), F.lit("{pri}"), F.col("o_orderpriority"))
     key = lambda expr: F.expr(f"concat('OR-', {expr})")
     name = lambda c: F.struct(c.alias("name"))
