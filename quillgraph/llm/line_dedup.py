@@ -11,7 +11,8 @@ line in linear time, however long it is.  A deletion variant that equals another
 proves an insertion or deletion; two equal deletion variants at the same position of
 equally long lines prove a substitution; others are further apart: that position test
 is the verification.  Each key only carries minima of positions, so a group of any size
-costs as many rows as it has lines and is pre-aggregated before it is shuffled.
+costs as many rows as it has lines and is pre-aggregated before it is shuffled; the joins
+back to the lines are split by the keys that very many lines hold.
 
 Only lines that share their first or last half with a different line can be within one
 edit (pigeonhole), so variants are emitted for those alone; nothing is lost.
@@ -25,11 +26,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import checkpointed, row_key, whole_text
+from quillgraph.llm.common import checkpointed, dropped, row_key, split_join, whole_text
 
 NEAR_WORDS = 8
-#: Rows of a side that may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 300_000
+#: Rows, and bytes of all of them, of a side that may be broadcast; beyond either the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 300_000, 64 << 20
 
 
 def _words(line: str) -> str:
@@ -40,9 +41,14 @@ def _words(line: str) -> str:
 _NORMAL = "CASE WHEN contains(x, '  ') OR contains(x, '\\t') OR contains(x, '\\r') OR contains(x, '\\f') OR startswith(x, ' ') OR endswith(x, ' ') THEN trim(regexp_replace(x, '[ \\\\t\\\\r\\\\f]+', ' ')) ELSE x END"
 
 
-def small(df: DataFrame) -> DataFrame:
-    """``df`` (checkpointed) marked for broadcast where its checked size allows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def small(df: DataFrame, width: str = "64") -> DataFrame:
+    """``df`` (checkpointed) marked for broadcast where its checked rows and bytes allow; ``width`` is the bytes of a row as SQL."""
+    size = df.agg(F.count("*").alias("n"), F.expr(f"sum({width})").alias("bytes")).first()
+    return F.broadcast(df) if size["n"] <= BROADCAST_ROWS and (size["bytes"] or 0) <= BROADCAST_BYTES else df
+
+
+#: Bytes of a row of ``removed_lines``, as SQL.
+REMOVED_WIDTH = "64 + 4 * size(removed)"
 
 
 def removed_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
@@ -58,22 +64,24 @@ def removed_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     at = F.struct("__id", "__k", "line_no").alias("at")
     # Exact copies: the first place of every distinct line.
     own = placed.select("h1", "h2", at)
-    firsts = checkpointed(own.groupBy("h1", "h2").agg(F.min("at").alias("first")))
-    later = own.join(firsts, ["h1", "h2"]).where("at <> first").select("at.__k", "at.line_no")
+    firsts = checkpointed(own.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("n")))
+    later = split_join(own, firsts.where("n > 1"), ["h1", "h2"]).where("at <> first").select("at.__k", "at.line_no")
     # Lines that share a half with a different line.
     halved = placed.select(F.explode_outer("halves").alias("half"), "h1").where("half IS NOT NULL")
-    shared = halved.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("half")
-    candidates = checkpointed(halved.join(shared, "half").select("h1").distinct())
+    shared = checkpointed(halved.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("half", "n"))
+    candidates = checkpointed(split_join(halved, shared, ["half"]).select("h1").distinct())
     wanted = checkpointed(firsts.join(small(candidates), "h1", "left_semi").select(F.col("first.__k").alias("__k"), F.col("first.line_no").alias("line_no"), "first"))
     near = _near_copies(_lines_at(docs, wanted), near_words)
     gone = later.union(near.select("at.__k", "at.line_no"))
-    return checkpointed(gone.groupBy("__k").agg(F.collect_set("line_no").alias("removed")))
+    out = checkpointed(gone.groupBy("__k").agg(F.collect_set("line_no").alias("removed")))
+    dropped(placed, firsts, shared, candidates, wanted, near)
+    return out
 
 
 def _lines_at(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(first, w): the words of the lines of ``wanted`` (__k, line_no, first); moves texts only where the list is long."""
     by_doc = checkpointed(wanted.groupBy("__k").agg(F.collect_list(F.struct("line_no", "first")).alias("places")))
-    found = docs.select("__k", "__t").join(small(by_doc), "__k")
+    found = docs.select("__k", "__t").join(small(by_doc, "64 + 96 * size(places)"), "__k")
     at = "transform(array(split(__t, '\\n')), l -> transform(places, p -> struct(p.first AS first, get(l, p.line_no) AS line)))[0]"
     found = found.select(F.explode_outer(F.expr(at)).alias("p")).select("p.first", F.expr(f"transform(array(lower(p.line)), x -> {_NORMAL})[0]").alias("s"))
     return found.select("first", F.expr(_words("s")).alias("w"))
@@ -106,16 +114,18 @@ def _near_copies(lines: DataFrame, near_words: int) -> DataFrame:
     kinds = "CASE WHEN whole THEN array(struct('D' AS kind, 0 AS n, 0 AS p, 2 AS role)) ELSE array(struct('S' AS kind, n AS n, p AS p, 0 AS role), struct('D' AS kind, 0 AS n, 0 AS p, 1 AS role)) END"
     keys = checkpointed(rows.select("at", "key", "key2", F.explode_outer(F.expr(kinds)).alias("k")).select("at", "key", "key2", "k.*"))
     by = ["key", "key2", "kind", "n", "p"]
-    least = keys.groupBy(*by).agg(*[F.min(F.when(F.col("role") == r, F.col("at"))).alias(f"m{r}") for r in (0, 1, 2)])
-    found = keys.join(least, by)
-    return found.where("(role = 0 AND m0 < at) OR (role = 1 AND m2 < at) OR (role = 2 AND m1 < at)").select("at").distinct()
+    least = checkpointed(keys.groupBy(*by).agg(*[F.min(F.when(F.col("role") == r, F.col("at"))).alias(f"m{r}") for r in (0, 1, 2)], F.count("*").alias("many")))
+    found = split_join(keys, least, by, "many")
+    out = checkpointed(found.where("(role = 0 AND m0 < at) OR (role = 1 AND m2 < at) OR (role = 2 AND m1 < at)").select("at").distinct())
+    dropped(lines, often, keys, least)
+    return out
 
 
 def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", near_words: int = NEAR_WORDS) -> DataFrame:
     """Each input row's id with ``kept_text``, ``n_lines``, ``n_removed`` and ``removed_lines`` (numbers from 0)."""
     docs = df.select(df[doc_id].alias("__id"), whole_text(df, text).alias("__t"))
     docs = docs.withColumn("__k", row_key(F.col("__id"), F.col("__t")))
-    out = docs.join(small(removed_lines(docs, near_words)), "__k", "left")
+    out = docs.join(small(removed_lines(docs, near_words), REMOVED_WIDTH), "__k", "left")
     out = out.withColumns({"__lines": F.split("__t", "\n"), "removed_lines": F.expr("coalesce(sort_array(removed), cast(array() AS array<int>))")})
     return out.select(
         F.col("__id").alias(doc_id),

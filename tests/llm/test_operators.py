@@ -254,7 +254,12 @@ def test_colliding_marks_are_all_kept(spark):
     assert got == {w: (1.0, min(mixing.MOST_EVIDENCE, marks[h][1])) for w, h in hashes.items()}
 
 
-def test_line_dedup_against_brute_force(spark):
+@pytest.mark.parametrize("often", [4096, 1])
+def test_line_dedup_against_brute_force(spark, monkeypatch, often):
+    from quillgraph.llm import common
+
+    monkeypatch.setattr(common, "OFTEN", often)
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", 64 << 20 if often > 1 else 0)
     rnd = random.Random(4)
     base = [" ".join(rnd.choice(WORDS) for _ in range(rnd.randint(1, 14))) for _ in range(12)]
     rows = []
@@ -289,6 +294,8 @@ def test_line_dedup_against_brute_force(spark):
         expected[i] = gone
     got = {r["doc_id"]: r["removed_lines"] for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
     assert got == expected and any(expected.values())
+    clash = frame(spark, rows + rows[:3]).withColumns({"removed": F.lit(1), "kept_text": F.lit("x"), "__k": F.lit(2)})
+    assert sorted((r["doc_id"], r["removed_lines"]) for r in line_dedup.dedup_lines(clash).collect()) == sorted([*expected.items(), *[(i, expected[i]) for i, _ in rows[:3]]])
     assert line_dedup.dedup_lines(frame(spark, rows).limit(0)).count() == 0
 
 
