@@ -36,7 +36,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove repeated lines from the texts; documents with no line of their own left go."""
     own = docs.select("doc_id", whole_text(docs).alias("__t")).withColumn("__row", row_key(F.col("doc_id"), F.col("__t")))
-    gone = line_dedup.small(line_dedup.removed_lines(own.select(F.col("doc_id").alias("__id"), F.col("__row").alias("__k"), "__t"))).withColumnsRenamed({"__k": "__row", "removed": "__removed"})
+    removed = line_dedup.removed_lines(own.select(F.col("doc_id").alias("__id"), F.col("__row").alias("__k"), "__t"))
+    gone = line_dedup.small(removed, line_dedup.REMOVED_WIDTH).withColumnsRenamed({"__k": "__row", "removed": "__removed"})
     out = _keyed(docs).join(gone, "__row", "left")
     kept = "transform(array(split(text, '\\n')), l -> array_join(transform(array_except(sequence(0, size(l) - 1), __removed), i -> get(l, i)), '\\n'))[0]"
     out = out.withColumn("__kept", F.expr(f"CASE WHEN __removed IS NULL THEN text ELSE {kept} END"))
