@@ -305,16 +305,16 @@ def doc_edges(spark, sf_dir):
     return relations.document_edges(rows).select(F.col("document_id").alias("page_id"), F.col("target_document").alias("target"))
 
 
-def supplier_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sparse graph: each customer to the customer of half its key."""
-    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("document_id"), F.floor(F.col("c_custkey") / 2).cast("long").alias("target_document")).where("document_id % 7 <> 0")
+def customer_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph of many trees: each customer to the one at half its place among the 64 keys of its block."""
+    return read(spark, sf_dir, "customer").selectExpr("CAST(c_custkey AS BIGINT) AS document_id", "CAST(c_custkey - c_custkey % 64 + (c_custkey % 64) div 2 AS BIGINT) AS target_document")
 
 
-@query("""WITH RECURSIVE e AS (SELECT c_custkey AS a, CAST(floor(c_custkey / 2) AS BIGINT) AS b FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey <> CAST(floor(c_custkey / 2) AS BIGINT)),
+@query("""WITH RECURSIVE k AS (SELECT CAST(c_custkey AS BIGINT) AS a, CAST(c_custkey - c_custkey % 64 + (c_custkey % 64) // 2 AS BIGINT) AS b FROM customer), e AS (SELECT a, b FROM k WHERE a <> b),
  n AS (SELECT a AS x FROM e UNION SELECT b FROM e), up AS (SELECT x AS node, x AS top FROM n UNION SELECT up.node, e.b FROM up JOIN e ON e.a = up.top)
 SELECT node, min(top) AS component FROM up GROUP BY 1""")
 def components(spark, sf_dir):
-    return communities.connected_components(supplier_edges(spark, sf_dir))
+    return communities.connected_components(customer_edges(spark, sf_dir))
 
 
 @query()
@@ -431,10 +431,3 @@ def sync_diff(spark, sf_dir):
 @query("SELECT " + ", ".join(f"count(*) FILTER (status = '{n}') AS {n}" for n in ("created", "updated", "skipped", "resurrected", "deleted")) + f" FROM {DIFF_SQL}")
 def sync_report(spark, sf_dir):
     return sync.sync_counts(sync.sync_diff(*order_snapshots(spark, sf_dir)))
-
-
-@query("SELECT conv_id, count(*) FILTER (m <> role) AS changed, count(*) AS n FROM (SELECT conv_id, role, first_value(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS m FROM conversations) GROUP BY 1")
-def role_changes(spark, sf_dir):
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = read(spark, sf_dir, "conversations").withColumn("m", F.first("role").over(order))
-    return rows.groupBy("conv_id").agg(F.count_if(F.col("m") != F.col("role")).alias("changed"), F.count("*").alias("n"))
