@@ -33,24 +33,24 @@ from quillgraph.llm.common import whole_text
 SIGNS = r"\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}"
 BLANKS = r" \t\r\f"
 WORD = rf"[{SIGNS}][{BLANKS}]*|[^{SIGNS}{BLANKS}]*[{BLANKS}]+|[^{SIGNS}{BLANKS}]+"
+#: The same words for Java's matcher, quicker: a plain range of letters is tried before the
+#: long classes, and nothing is given back.  RE2, which reads ``WORD`` in the SQL, lacks ``++``.
+QUICK_WORD = rf"[!-~\x{{A1}}-\x{{DFF}}]++(?: (?=[!-~])|[^{SIGNS}{BLANKS}]*+[{BLANKS}]*+)|[^{SIGNS}{BLANKS}]++[{BLANKS}]*+|[{BLANKS}]++|[{SIGNS}][{BLANKS}]*+"
 ENDS = "('0', '1')"
 #: Rows sampled for each range of ids; the sample only balances the ranges.
 PER_RANGE = 40
+#: Ranges at most: steps of the search for a row's range, so 4096.
+STEPS = 12
 
 
 def _leaves(x: str) -> str:
     """SQL expression: the leaf hashes of the paragraph ``x``."""
-    words = "regexp_extract_all({}, '{}', 0)".format(x, WORD.replace("\\", "\\\\"))
+    words = "regexp_extract_all({}, '{}', 0)".format(x, QUICK_WORD.replace("\\", "\\\\"))
     cuts = f"filter(sequence(0, size(w) - 1), i -> i = 0 OR substr(md5(get(w, i - 1)), 1, 1) IN {ENDS})"
     leaf = "sha2(array_join(slice(w, a + 1, coalesce(get(c, k + 1), size(w)) - a), ''), 256)"
     return f"transform(array({words}), w -> CASE WHEN size(w) = 0 THEN cast(array() AS array<string>) ELSE transform(array({cuts}), c -> transform(c, (a, k) -> {leaf}))[0] END)[0]"
 
 
-def leaf_set(text: str) -> str:
-    """SQL expression: the distinct leaves of the text expression, as serialised."""
-    return f"array_distinct(transform(flatten(transform(split({text}, '\\n'), x -> {_leaves('x')})), y -> substr(y, 1, 6)))"
-
-
 def with_tree(df: DataFrame, text: str, out: str) -> DataFrame:
     """Add ``{out}`` (the serialised tree) and ``{out}_set`` (its distinct leaves).
 
@@ -117,38 +117,47 @@ def differing_paragraphs(a: str, b: str) -> str:
     return f"CASE WHEN substr({a}, 1, 64) = substr({b}, 1, 64) THEN cast(array() AS array<string>) ELSE {whole} END"
 
 
-def with_next(df: DataFrame, doc_id: str, text: str, out: str) -> DataFrame:
-    """Add ``out``: the text of the next row by ascending (doc_id, text hash), after the last that of the first.
+def in_ranges(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Deal the rows by ranges of (doc_id, text hash) that hold about as many rows each; null ids come first.
 
-    Null ids come first.  Rows move once, by ranges of (id, text hash) that hold about as
-    many rows each, so neither many null ids nor one common id make a large range; the
-    first row of a range also visits the range before it, so that no range has to wait
-    for another and no single task sees all rows.
+    Adds ``__key``, ``__b`` (the range, a partition of its own) and ``__guest``: rows move
+    once, but the first row of a range also visits the range before it, as its guest, and
+    that of the first range the last.  So neither many null ids nor one common id make a
+    large range, no range has to wait for another and no single task sees all rows.  A row
+    finds its range in ``STEPS`` comparisons, however many ranges there are, and the list of
+    them is not copied to the rows.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = min(max(2 * parts, 2), 4096)
+    ranges = min(max(2 * parts, 2), 1 << STEPS)
     share = min(1.0, PER_RANGE * ranges / max(df.count(), 1))
     df = df.withColumn("__key", F.struct(F.col(doc_id).isNotNull().alias("known"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("tie")))
     # One row of about `ranges` keys: the least of all, then every PER_RANGE-th of a sample by hash.
     sampled = F.when(F.pmod(F.xxhash64("__key"), F.lit(1 << 30)) < int(share * (1 << 30)), F.col("__key"))
     table = df.agg(F.min("__key").alias("lo"), F.sort_array(F.collect_set(sampled)).alias("some"))
-    table = table.select(F.expr(f"concat(array(lo), filter(some, (x, i) -> i > 0 AND i % {PER_RANGE} = 0 AND x <> lo))").alias("__bounds"))
-    df = df.join(F.broadcast(table))
-    df = df.withColumn("__own", F.expr("size(filter(__bounds, b -> b <= __key)) - 1"))
-    visits = "array(struct(__own AS b, 0 AS guest), struct(CASE WHEN __own = 0 THEN size(__bounds) - 1 ELSE __own - 1 END AS b, 1 AS guest))"
-    df = df.withColumn("__at", F.expr(f"explode(CASE WHEN __key = get(__bounds, __own) THEN {visits} ELSE array(struct(__own AS b, 0 AS guest)) END)"))
+    bounds = table.select(F.expr(f"slice(concat(array(lo), filter(some, (x, i) -> i > 0 AND i % {PER_RANGE} = 0 AND x <> lo)), 1, {1 << STEPS})")).scalar()
+    df = df.withColumn("__bounds", bounds).withColumn("__own", F.lit(0))
+    for k in reversed(range(STEPS)):
+        df = df.withColumn("__own", F.expr(f"CASE WHEN get(__bounds, __own + {1 << k}) <= __key THEN __own + {1 << k} ELSE __own END"))
+    visits = "array(struct(__own AS b, 0 AS guest), struct(pmod(__own - 1, size(__bounds)) AS b, 1 AS guest))"
+    df = df.withColumn("__at", F.expr(f"explode_outer(CASE WHEN __key = get(__bounds, __own) THEN {visits} ELSE array(struct(__own AS b, 0 AS guest)) END)"))
+    df = df.select("*", F.col("__at.b").alias("__b"), F.col("__at.guest").alias("__guest")).drop("__bounds", "__own", "__at")
+    return df.repartitionById(ranges, F.col("__b"))
+
+
+def with_next(df: DataFrame, **leads: str) -> DataFrame:
+    """Add to rows ``in_ranges`` each of ``leads``, a column's value in the next row; after the last that of the first.  Guests go."""
     order = Window.partitionBy("__b").orderBy("__guest", "__key")
-    df = df.drop("__bounds").select("*", F.col("__at.b").alias("__b"), F.col("__at.guest").alias("__guest"))
-    return df.withColumn(out, F.lead(text).over(order)).where("__guest = 0").drop("__key", "__own", "__at", "__b", "__guest")
+    df = df.withColumns({out: F.lead(column).over(order) for out, column in leads.items()})
+    return df.where("__guest = 0").drop("__key", "__b", "__guest")
 
 
 def edited_fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprint each text and its edited text, whose last quarter is the start of the next document's."""
-    docs = with_next(df.select(df[doc_id].alias("doc_id"), whole_text(df, text).alias("__t")), "doc_id", "__t", "__next")
+    docs = in_ranges(df.select(df[doc_id].alias("doc_id"), whole_text(df, text).alias("__t")), "doc_id", "__t")
+    docs = with_next(with_tree(docs, "__t", "fingerprint"), __next="__t", __next_set="fingerprint_set")
     docs = docs.withColumn("n_chars", F.length("__t").cast("long"))
     docs = docs.withColumn("__e", F.expr("concat(substring(__t, 1, cast(n_chars - n_chars div 4 AS int)), substring(__next, 1, cast(n_chars div 4 AS int)))"))
-    docs = with_tree(with_tree(docs, "__t", "fingerprint"), "__e", "edited_fingerprint")
-    docs = docs.withColumn("__next_set", F.expr(leaf_set("__next")))
+    docs = with_tree(docs, "__e", "edited_fingerprint")
     return docs.select(
         "doc_id",
         "n_chars",

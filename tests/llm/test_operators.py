@@ -86,6 +86,36 @@ def test_merkle_locates_edits(spark):
     assert 0.5 < got["near_edited"] < 0.95  # an edit of the last quarter, in a script without spaces
 
 
+def test_merkle_ranges(spark):
+    """Many ranges: no row meets the list of them, each is a task of its own, and the next text is right across them."""
+    rows = [(None if i < 5 else i // 2, f"{'word ' * (i % 7)}{i:04d}") for i in range(3000)]
+    rows = [r for k, r in enumerate(rows) if k < 5 or k % 2]  # ids once each, but for null
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "20")
+    try:
+        got = merkle.edited_fingerprints(frame(spark, rows))
+        assert "NestedLoopJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        got = got.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    tasks = collections.Counter(r["task"] for r in got)
+    assert len(tasks) >= 30 and max(tasks.values()) <= 3 * len(rows) / len(tasks)
+    assert len(got) == len(rows)
+    known = [r for r in rows if r[0] is not None]
+    expected = {i: hashlib.sha256((t[: len(t) - len(t) // 4] + n[: len(t) // 4]).encode()).hexdigest() for (i, t), (_, n) in zip(known, known[1:], strict=False)}
+    assert {r["doc_id"]: r["edited_sha256"] for r in got if r["doc_id"] in expected} == expected
+
+
+def test_merkle_words(spark):
+    """The quick pattern finds the words of the one in the SQL."""
+    rnd = random.Random(5)
+    signs = "ab!~ \t\r\f\x0b\x00\x7f\x85\xa0\xa1é\u0dff\u0e00\u0eff\u0f00\u1000\u109f\u10a0\u1780\u17ff\u1800\u3000\u3040\u30ff\u3100\u3400\u9fff\ua000\U0001f600 a b"
+    df = spark.createDataFrame([("".join(rnd.choice(signs) for _ in range(rnd.randint(0, 40))),) for _ in range(3000)], "t string")
+    words = lambda w: F.regexp_extract_all("t", F.lit(w), F.lit(0))
+    assert df.where(words(merkle.QUICK_WORD) != words(merkle.WORD)).count() == 0
+    assert df.where(F.array_join(words(merkle.QUICK_WORD), "") != F.col("t")).count() == 0
+
+
 def rows_len(rows, i):
     return next(n for d, n in rows if d == i)
 
