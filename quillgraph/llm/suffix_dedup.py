@@ -108,6 +108,19 @@ def word_symbols(raw: np.ndarray) -> np.ndarray:
     return _mix(out)
 
 
+def _ranked(key: np.ndarray, most: int) -> np.ndarray:
+    """The rank of each of the ``key``, equal keys sharing one; no key is above ``most``."""
+    bits = key.size.bit_length()
+    if int(most).bit_length() + bits > 63:
+        return np.unique(key, return_inverse=True)[1].astype(np.int32)
+    both = np.sort((key << bits) | np.arange(key.size))  # key and place in one word: values sort several times as fast as places
+    place = both & ((1 << bits) - 1)
+    both >>= bits
+    rank = np.empty(key.size, np.int32)
+    rank[place] = np.cumsum(np.append(False, both[1:] != both[:-1])[: key.size], dtype=np.int32)
+    return rank
+
+
 def rank_levels(raw: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
     """(depth, rank of each position in suffix order cut at that depth) for depths 4, 8, ... and ``length``.
 
@@ -118,24 +131,26 @@ def rank_levels(raw: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
     key = np.zeros(n + length - step, np.int64)
     for i in range(step):
         key = (key << 8) | padded[i : i + key.size]
-    out = [(step, np.unique(key, return_inverse=True)[1].astype(np.int32))]
+    out = [(step, _ranked(key, (1 << 32) - 1))]
     while step < length:
         jump, rank = min(step, length - step), out[-1][1]
-        key = (rank[: rank.size - jump].astype(np.int64) << 32) | rank[jump:]
+        width = int(rank.max(initial=0)).bit_length()
+        key = (rank[: rank.size - jump].astype(np.int64) << width) | rank[jump:]
         step += jump
-        out.append((step, np.unique(key, return_inverse=True)[1].astype(np.int32)))
+        out.append((step, _ranked(key, (1 << 2 * width) - 1)))
     return out
 
 
-def nearest_smaller(values: np.ndarray) -> np.ndarray:
-    """For each place the nearest earlier place of a smaller value, -1 without one; by pointer jumping."""
-    at = np.arange(values.size) - 1
+def nearest_smaller(values: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the nearest earlier place of a smaller value, -1 without one, and the least of the ``gaps`` after that place up to this one; by pointer jumping."""
+    at, least = np.arange(values.size) - 1, gaps.copy()
     todo = np.flatnonzero(at >= 0)
     while todo.size:
         todo = todo[values[at[todo]] > values[todo]]
+        least[todo] = np.minimum(least[todo], least[at[todo]])
         at[todo] = at[at[todo]]
         todo = todo[at[todo] >= 0]
-    return at
+    return at, least
 
 
 def factors(raw: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -160,16 +175,15 @@ def factors(raw: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarra
             size += open_
         return np.minimum(size, length)
 
+    # The common prefix of two suffixes is the least of those of the neighbours between them.
+    shared = np.append(0, common(sa[:-1], sa[1:]))[: sa.size]
+
     def longest(values: np.ndarray) -> np.ndarray:
-        out = np.zeros(sa.size, np.int64)
-        before = nearest_smaller(values)
-        after = sa.size - 1 - nearest_smaller(values[::-1])[::-1]
-        for other, known in ((before, before >= 0), (after, after < sa.size)):
-            i = np.flatnonzero(known)
-            out[i] = np.maximum(out[i], common(sa[i], sa[other[i]]))
-        back = np.empty_like(out)
-        back[order] = out
-        return back
+        before, left = nearest_smaller(values, shared)
+        after, right = nearest_smaller(values[::-1], np.append(0, shared[:0:-1])[: sa.size])
+        out = np.empty(sa.size, np.int64)
+        out[order] = np.maximum(np.where(before >= 0, left, 0), np.where(after >= 0, right, 0)[::-1])
+        return out
 
     return longest(sa), longest(-sa)
 

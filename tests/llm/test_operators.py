@@ -475,6 +475,28 @@ def test_factors_match_plain_comparison():
             assert after[i] == max((common(i, j) for j in range(i + 1, starts.size)), default=0)
 
 
+def test_ranks_sort_values_not_places(monkeypatch):
+    rnd = random.Random(12)
+    raw = np.frombuffer(bytes(rnd.choice(b"abc") for _ in range(3000)) + b"ab" * 500 + bytes([0, 255] * 300), np.uint8)
+    length = 90
+    padded = raw.tobytes() + bytes(length)
+
+    def refused(*args, **kwargs):
+        raise AssertionError("sorted by place")
+
+    with monkeypatch.context() as patch:
+        for name in ("unique", "argsort"):
+            patch.setattr(np, name, refused)
+        levels = suffix_dedup.rank_levels(raw, length)
+    assert [d for d, _ in levels] == [4, 8, 16, 32, 64, 90]
+    for depth, rank in levels:
+        cut = [padded[i : i + depth] for i in range(rank.size)]
+        order = {x: k for k, x in enumerate(sorted(set(cut)))}
+        assert rank.tolist() == [order[x] for x in cut]
+    wide = np.array([5, 1 << 61, 5, 0, 1 << 60, 1 << 61])  # key and place do not fit one word
+    assert suffix_dedup._ranked(wide, 1 << 61).tolist() == [1, 3, 1, 0, 2, 3]
+
+
 def test_shared_words(spark):
     shared = text(900, 60)
     rows = [(1, text(901, 80) + " " + shared + "\n" + text(902, 30)), (2, shared.replace(" ", "\n")), (3, text(903, 200)), (4, " ".join(shared.split()[:50]) + " end"), (5, ("word " * 200).strip()), (6, None)]
