@@ -1,4 +1,8 @@
-"""Graph-enriched reads: chunks with cluster and backlinks, peers, clusters, audits."""
+"""Graph-enriched reads: chunks with cluster and backlinks, peers, clusters, audits.
+
+Joins with what is exploded or parsed are marked to shuffle: Spark takes it to be as small
+as the files it comes from and would broadcast it, at the cost of the driver's memory.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,7 @@ from pyspark.sql import functions as F
 def enriched_chunks(chunks: DataFrame, clusters: DataFrame, relations: DataFrame) -> DataFrame:
     """Chunks with ``cluster_id`` and ``incoming_anchor_from`` (sorted ids of chunks that follow an anchor here)."""
     back = relations.where("channel = 'anchor_follow'").groupBy(F.col("to_chunk_id").alias("id")).agg(F.sort_array(F.collect_set("from_chunk_id")).alias("incoming_anchor_from"))
-    out = chunks.join(clusters.select("document_id", "cluster_id"), "document_id", "left").join(back, "id", "left")
+    out = chunks.join(clusters.select("document_id", "cluster_id").hint("merge"), "document_id", "left").join(back.hint("merge"), "id", "left")
     return out.withColumn("incoming_anchor_from", F.coalesce("incoming_anchor_from", F.array().cast("array<string>")))
 
 
@@ -42,10 +46,10 @@ def dead_links(links: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
 def orphans(documents: DataFrame, links: DataFrame) -> DataFrame:
     """Documents no other document links to."""
     hit = links.where(F.col("target_document").isNotNull() & (F.col("target_document") != F.col("document_id"))).select(F.col("target_document").alias("id")).distinct()
-    return documents.join(hit, "id", "left_anti")
+    return documents.join(hit.hint("merge"), "id", "left_anti")
 
 
 def dangling_anchors(links: DataFrame, sections: DataFrame) -> DataFrame:
     """Resolved links whose anchor no section of the target has."""
     known = sections.where("anchor IS NOT NULL AND anchor <> ''").select(F.col("document_id").alias("target_document"), F.col("anchor").alias("target_anchor")).distinct()
-    return links.where("target_document IS NOT NULL AND target_anchor IS NOT NULL AND target_anchor <> ''").join(known, ["target_document", "target_anchor"], "left_anti")
+    return links.where("target_document IS NOT NULL AND target_anchor IS NOT NULL AND target_anchor <> ''").join(known.hint("merge"), ["target_document", "target_anchor"], "left_anti")
