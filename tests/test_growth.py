@@ -4,7 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from quillgraph.operators import graph_query, resolvers
+from quillgraph.operators import graph_query, relations, resolvers
 from quillgraph.sources import build
 
 
@@ -38,3 +38,23 @@ def test_lookups_are_not_broadcast(spark, tmp_path):
     links = resolvers.resolve_files(tables["links"], tables["documents"], lambda href: F.regexp_extract(href, "([0-9]+)$", 1))
     for df in (links, graph_query.dangling_anchors(links, tables["sections"])):
         assert "Broadcast" not in plan(df)
+
+
+def test_pairs_of_one_target_are_not_shuffled_and_hot_targets_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(relations, "HOT", 4)
+    held = {i: {"t"} | {f"u{i % 3}"} | ({f"v{i % 5}"} if i % 2 else set()) for i in range(20)} | {20: {"t"}, 21: {"t", None}, 22: {"w"}}
+    df = spark.createDataFrame([(f"c{i}", x) for i, s in held.items() for x in s] * 2, "chunk_id string, target_document string")
+    found = relations.same_target(df)
+    want = {(f"c{i}", f"c{j}", "same_target", len(k) / (len(a) + len(b) - len(k))) for i, a in held.items() for j, b in held.items() if i != j and len(a) >= 2 and (k := (a & b) - {None})}
+    got = list(map(tuple, found.collect()))
+    assert set(got) == want and len(got) == len(want)
+    assert "Exchange" not in plan(found).split("SortMergeJoin")[0]
+
+
+def test_anchors_are_not_broadcast(spark, tmp_path):
+    chunks = spark.range(50).selectExpr("concat('c', id) AS chunk_id", "concat('d', id) AS document_id", "concat('d', id + 1) AS target_document", "'1' AS target_anchor", "array('1', '2') AS anchors", "id AS cluster_id")
+    chunks.write.parquet(str(tmp_path / "c"))
+    c = spark.read.parquet(str(tmp_path / "c"))
+    follow = relations.anchor_follow(c, c.select("chunk_id", "document_id", F.explode("anchors").alias("anchor")))
+    whole = graph_query.enriched_chunks(c.select(F.col("chunk_id").alias("id"), "document_id"), c, follow)
+    assert "Broadcast" not in plan(whole) and follow.count() == 49 and whole.where("size(incoming_anchor_from) = 1").count() == 49
