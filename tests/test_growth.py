@@ -5,7 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from quillgraph.operators import graph_query, relations, resolvers
-from quillgraph.sources import build
+from quillgraph.sources import build, issues
 
 
 def plan(df):
@@ -58,3 +58,13 @@ def test_anchors_are_not_broadcast(spark, tmp_path):
     follow = relations.anchor_follow(c, c.select("chunk_id", "document_id", F.explode("anchors").alias("anchor")))
     whole = graph_query.enriched_chunks(c.select(F.col("chunk_id").alias("id"), "document_id"), c, follow)
     assert "Broadcast" not in plan(whole) and follow.count() == 49 and whole.where("size(incoming_anchor_from) = 1").count() == 49
+
+
+def test_issues_are_read_after_they_are_dealt_and_for_what_is_asked(spark, tmp_path):
+    spark.range(20).selectExpr("to_json(named_struct('key', concat('K-', id), 'fields', named_struct('summary', 's', 'description', 'd', 'parent', named_struct('key', 'K-1')))) AS json").write.parquet(str(tmp_path / "i"))
+    raw = spark.read.parquet(str(tmp_path / "i")).repartition(3)
+    tables = build.issue_corpus(issues.issue_rows(raw, "wiki"), "j")
+    links = resolvers.resolve_issues(tables["links"], tables["documents"])
+    assert all("from_json" not in x.split("FileScan")[0] for x in plan(links).split("Exchange RoundRobinPartitioning")[1:])
+    assert "comment" not in plan(links) and "comment" in plan(tables["sections"])
+    assert {(r["document_id"], r["target_document"]) for r in links.collect()} == {(f"doc:j:K-{i}", "doc:j:K-1") for i in range(20)}
