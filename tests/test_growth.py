@@ -4,7 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from quillgraph.operators import graph_query, relations, resolvers
+from quillgraph.operators import chunking as ck, graph_query, relations, resolvers
 from quillgraph.sources import build, issues
 
 
@@ -68,3 +68,18 @@ def test_issues_are_read_after_they_are_dealt_and_for_what_is_asked(spark, tmp_p
     assert all("from_json" not in x.split("FileScan")[0] for x in plan(links).split("Exchange RoundRobinPartitioning")[1:])
     assert "comment" not in plan(links) and "comment" in plan(tables["sections"])
     assert {(r["document_id"], r["target_document"]) for r in links.collect()} == {(f"doc:j:K-{i}", "doc:j:K-1") for i in range(20)}
+
+
+def test_a_document_is_gathered_with_one_shuffle(spark):
+    s = spark.createDataFrame([("d", 0, "a"), ("d", 1, "b"), ("d", 1, "b"), ("e", 0, "c")], "document_id string, seq int, text string")
+    l = spark.createDataFrame([("d", 1, 1, "y", True), ("d", 1, 0, "x", True), ("d", 7, 0, "z", True), (None, 0, 0, "z", True)], "document_id string, section_seq int, seq int, target_document string, resolved boolean").selectExpr("*", "'k' AS kind", "CAST(NULL AS string) AS target_anchor")
+    found = ck.gathered(s, l)
+    assert plan(found).count("Exchange hashpartitioning") == 1
+    assert {r["document_id"]: [(x["seq"], x["text"], x["targets"]) for x in r["secs"]] for r in found.collect()} == {"d": [(0, "a", []), (1, "b", ["x", "y"]), (1, "b", ["x", "y"])], "e": [(0, "c", [])]}
+
+
+def test_pages_are_parsed_once_and_after_they_are_dealt(spark):
+    pages = spark.range(20).selectExpr("cast(id AS string) AS id", "'S' AS space", "concat('T', id) AS title", "id AS version", "'' AS updated_at", "array('l') AS labels", "'0' AS parent", "concat('<p>p', id, ' <a href=\"http://e\">e</a></p>') AS body").repartition(3)
+    tables = build.page_corpus(pages, "w")
+    for name in ("sections", "links"):
+        assert plan(tables[name]).count("ArrowEvalPython") == 1 and "EvalPython" not in below_exchange(tables[name]) and tables[name].count() == 20
